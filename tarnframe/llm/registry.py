@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules
+from . import packing, quality_classifier, quality_rules, sharding, token_counts
 from .session import documents_of
 
 
@@ -16,12 +16,24 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(documents, quality_classifier.train(documents, labels))
 
 
+def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents_of(spark, sf_dir))
+
+
+def op6_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(documents_of(spark, sf_dir))
+
+
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents_of(spark, sf_dir))
+
+
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(documents_of(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bradley_terry, op8_repetition_coverage)
+    found = (op1_bradley_terry, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage)
     return {f.__name__: f for f in found}
 
 
