@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_classifier, quality_rules, sharding, token_counts
+from . import byte_bpe, packing, quality_classifier, quality_rules, sharding, token_counts
 from .session import documents_of
 
 
@@ -32,8 +33,13 @@ def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(documents_of(spark, sf_dir))
 
 
+def op10_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(documents_of(spark, sf_dir)).withColumn("ids_sha256", F.sha2("ids", 256))
+    return byte_bpe.decode(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bradley_terry, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage)
+    found = (op1_bradley_terry, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op10_distinct_word_bpe)
     return {f.__name__: f for f in found}
 
 
