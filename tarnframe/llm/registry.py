@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_classifier, quality_rules, sharding, token_counts
+from . import ball_tree, byte_bpe, packing, quality_classifier, quality_rules, sharding, sql, token_counts
 from .session import documents_of
 
 
@@ -17,6 +17,11 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(documents, quality_classifier.train(documents, labels))
 
 
+def op2_ball_tree_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ball_tree.top_inner_products(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents_of(spark, sf_dir))
 
@@ -39,9 +44,9 @@ def op10_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bradley_terry, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op10_distinct_word_bpe)
+    found = (op1_bradley_terry, op2_ball_tree_top10, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op10_distinct_word_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS}
