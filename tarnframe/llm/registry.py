@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, byte_bpe, packing, quality_classifier, quality_rules, sharding, sql, token_counts
+from . import ball_tree, byte_bpe, jaccard_join, packing, quality_classifier, quality_rules, sharding, sql, token_counts
 from .session import documents_of
 
 
@@ -38,15 +38,19 @@ def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(documents_of(spark, sf_dir))
 
 
+def op9_prefix_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents_of(spark, sf_dir))
+
+
 def op10_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(documents_of(spark, sf_dir)).withColumn("ids_sha256", F.sha2("ids", 256))
     return byte_bpe.decode(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bradley_terry, op2_ball_tree_top10, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op10_distinct_word_bpe)
+    found = (op1_bradley_terry, op2_ball_tree_top10, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op9_prefix_jaccard_join, op10_distinct_word_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS}
+    return {"op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS, "op9_prefix_jaccard_join": sql.JACCARD_COMPONENTS}

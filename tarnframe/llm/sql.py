@@ -15,3 +15,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM products)
 WHERE rank <= 10
 """
+
+JACCARD_COMPONENTS = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS rep, count(*) AS size FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s
+), postings AS (
+  SELECT rep, len(s) AS n, unnest(s) AS g FROM classes
+), shared AS (
+  SELECT a.rep AS x, b.rep AS y, count(*) AS o, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM postings a JOIN postings b ON a.g = b.g AND a.rep <> b.rep AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+  GROUP BY a.rep, b.rep
+), links AS (
+  SELECT x, y FROM shared WHERE 100 * o >= 75 * (nx + ny - o)
+), reach AS (
+  SELECT rep AS x, rep AS y FROM classes
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), roots AS (
+  SELECT x, min(y) AS root FROM reach GROUP BY x
+), degrees AS (
+  SELECT l.x, sum(c.size) AS d FROM links l JOIN classes c ON c.rep = l.y GROUP BY l.x
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id,
+       CAST(coalesce(c.size - 1 + coalesce(d.d, 0), 0) AS BIGINT) AS n_links
+FROM sets s LEFT JOIN classes c ON len(s.s) > 0 AND c.s = list_sort(s.s)
+LEFT JOIN roots r ON r.x = c.rep LEFT JOIN degrees d ON d.x = c.rep
+"""
