@@ -66,6 +66,15 @@ def unpack_parts(packed: bytes, n: int) -> list[memoryview]:
     return out
 
 
+def byte_planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values, all first bytes before all second ones: it compresses better."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def of_planes(planes: bytes | memoryview) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of ``values[start : start + length]`` over all pairs."""
     ends = np.cumsum(lengths)
@@ -75,13 +84,14 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 #: Word numbers below the first bound take one byte, below the second two, others three.
 _ONE, _TWO = 160, 224
+_FREQUENT = _ONE + (_TWO - _ONE) * 256
 
 
 def number_planes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers as planes of first, second and third bytes; small numbers are frequent."""
-    if len(numbers) and numbers.max() >= _ONE + 64 * 256 + 32 * 65536:
+    if len(numbers) and numbers.max() >= _FREQUENT + (256 - _TWO) * 65536:
         return np.zeros(0, np.uint8), np.zeros(0, np.uint8), numbers.astype(np.uint32).view(np.uint8)
-    two, three = numbers - _ONE, numbers - (_ONE + 64 * 256)
+    two, three = numbers - _ONE, numbers - _FREQUENT
     in_two, in_three = (two >= 0) & (three < 0), three >= 0
     first = np.where(in_three, _TWO + (three >> 16), np.where(in_two, _ONE + (two >> 8), numbers)).astype(np.uint8)
     second = np.where(in_three, three >> 8, two)[in_two | in_three].astype(np.uint8)
@@ -95,7 +105,7 @@ def numbers_of_planes(first: np.ndarray, second: np.ndarray, third: np.ndarray)
     longer = np.flatnonzero(first >= _ONE)
     in_three = first[longer] >= _TWO
     values = np.where(in_three, (numbers[longer] - _TWO) << 8, (numbers[longer] - _ONE) << 8) + second
-    values[in_three] = (values[in_three] << 8) + third + 64 * 256
+    values[in_three] = (values[in_three] << 8) + third + (_FREQUENT - _ONE)
     numbers[longer] = values + _ONE
     return numbers
 
@@ -109,7 +119,11 @@ class Numbering(dict):
 
 
 def _explode(texts: Iterator[str | None], split) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words by falling frequency, all texts' word numbers, and how many each text has."""
+    """Distinct words, all texts' word numbers, and how many each text has.
+
+    The most frequent words have the smallest numbers, for the stream's sake; the
+    others follow in alphabetical order, for the word lists' sake.
+    """
     runs, number, counts = Numbering(), [], []
     for text in texts:
         found = UNIT.findall(text) if text else []
@@ -127,10 +141,11 @@ def _explode(texts: Iterator[str | None], split) -> tuple[list[str], np.ndarray,
     lengths = n_pieces[by_run]
     upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
     stream = ragged(pieces, starts[by_run], lengths)
+    listed = list(words)
     order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")
+    order[_FREQUENT:] = sorted(order[_FREQUENT:].tolist(), key=listed.__getitem__)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    listed = list(words)
     return [listed[i] for i in order], rank[stream], np.diff(upto)
 
 
@@ -152,9 +167,9 @@ def _pack_block(ids: pa.Array, column: pa.Array, split, n_parts: int, serial: in
     for k in range(n_parts):
         mine = order[edges[k] : edges[k + 1]]
         if len(mine):
-            steps = np.diff(mine, prepend=0).astype(np.uint32)
-            rows.append((k, block, k, pack_parts(steps, lengths[mine], b"".join([encoded[i] for i in mine]))))
-    rows.append((serial % n_parts, block, _STREAM, pack_parts(head, counts.astype(np.uint32), np.array([len(words)], np.uint64), *planes)))
+            steps = byte_planes(np.diff(mine, prepend=0))
+            rows.append((k, block, k, pack_parts(steps, byte_planes(lengths[mine]), b"".join([encoded[i] for i in mine]))))
+    rows.append((serial % n_parts, block, _STREAM, pack_parts(head, byte_planes(counts), np.array([len(words)], np.uint64), *planes)))
     return rows
 
 
@@ -169,7 +184,7 @@ _ROWS = "part long, block long, kind long, payload binary"
 def _merge_words(payload: bytes, merger: Merger, memo: dict[bytes, list[int]]) -> bytes:
     steps, lengths, words = unpack_parts(payload, 3)
     words, at, sizes, ids = bytes(words), 0, [], []
-    for n in np.frombuffer(lengths, np.uint32).tolist():
+    for n in of_planes(lengths).tolist():
         word = words[at : at + n]
         at += n
         found = memo.get(word)
@@ -180,7 +195,7 @@ def _merge_words(payload: bytes, merger: Merger, memo: dict[bytes, list[int]]) -
             memo[word] = found
         sizes.append(len(found))
         ids += found
-    return pack_parts(bytes(steps), np.array(sizes, np.uint32), np.array(ids, np.uint32))
+    return pack_parts(bytes(steps), byte_planes(np.array(sizes)), byte_planes(np.array(ids)))
 
 
 def _reassemble(kinds: list[int], payloads: list[bytes]) -> tuple[pa.Array, np.ndarray, list[bytes]]:
@@ -190,17 +205,17 @@ def _reassemble(kinds: list[int], payloads: list[bytes]) -> tuple[pa.Array, np.n
         raise RuntimeError("a block's words and positions did not meet: the input was not replayed alike")
     head, counts, n_words, *planes = unpack_parts(payloads[at[0]], 6)
     doc_ids = pa.ipc.open_stream(head).read_all().column(0).combine_chunks()
-    counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+    counts = of_planes(counts).astype(np.int64)
     sizes = np.zeros(int(np.frombuffer(n_words, np.uint64)[0]), np.int64)
     starts, pool, base = np.zeros(len(sizes), np.int64), [], 0
     for kind, payload in zip(kinds, payloads):
         if kind != _STREAM:
             steps, lengths, ids = unpack_parts(payload, 3)
-            places = np.cumsum(np.frombuffer(steps, np.uint32).astype(np.int64))
-            lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
+            places = np.cumsum(of_planes(steps).astype(np.int64))
+            lengths = of_planes(lengths).astype(np.int64)
             sizes[places] = lengths
             starts[places] = base + np.cumsum(lengths) - lengths
-            pool.append(np.frombuffer(ids, np.uint32))
+            pool.append(of_planes(ids))
             base += len(pool[-1])
     if len(sizes) and not sizes.all():
         raise RuntimeError("a block's words are not complete: the input was not replayed alike")

@@ -11,9 +11,11 @@
    one neighbourhood, so their links are found there and no list is expanded into
    its pairs.  Pairs in a list that lie in different neighbourhoods are formed one
    by one, past the length and positional filters.
-4. The sets of each neighbourhood, and of each two that such pairs join, are sent
-   once to one task, and joined there by prefix index, length, suffix (counts of
-   hash ranges bound the overlap) and exact verification, once per pair.  A
+4. Each neighbourhood, and each two that such pairs join, is a group.  First only
+   its sets' sizes and counts by hash range meet: those bound every overlap (the
+   suffix filter), and sets without a partner within the bounds drop out.  The
+   sets that remain are sent once to one task for each group, and joined there by
+   prefix index, length, suffix and exact verification, once per pair.  A
    neighbourhood with more shingles than ``GROUP_SHINGLES`` is cut into blocks, and
    each two blocks meet in a task of their own.
 5. Components of the links are contracted by alternating stars.
@@ -34,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import map_arrow, settled
-from .shingles import TABLE_BITS, cells, log_scale, ranked_sets, shingle_hashes, summed_table
+from .session import settled
+from .shingles import TABLE_BITS, cells, log_scale, ranked_sets, shingle_hashes, summed_table, table_parts, tables_of
 from .textblocks import blocks_of, mix64, texts_of
 
 SHINGLE_WORDS = 5
@@ -86,17 +88,55 @@ def _pieces(sets: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     return sets[np.arange(total) - np.repeat(ends - lengths - starts, lengths)], np.concatenate([[0], ends])
 
 
-def count_shingles(documents: DataFrame, k: int) -> np.ndarray:
-    """The log-scaled frequency table over all shingles of all documents (one text column)."""
+class Fresh:
+    """Tells which classes a task hasn't met yet; copies in one task are then sent on once."""
 
-    def per_partition(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    LIMIT = 1_000_000
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def among(self, classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if len(self.seen) > self.LIMIT:
+            self.seen.clear()
+        out = []
+        for i, c in zip(rows.tolist(), classes[rows].tolist()):
+            if c not in self.seen:
+                self.seen.add(c)
+                out.append(i)
+        return np.array(out, dtype=np.int64)
+
+
+def classes_and_counts(source: DataFrame, k: int) -> DataFrame:
+    """Rows (id, n, cls, spread) of all documents, and among them each partition's shingle counts as (chunk, part).
+
+    ``spread`` counts a set's hashes by 256 ranges, a byte each; 255 means that or more.
+    """
+    flat = np.zeros(1 << TABLE_BITS, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << TABLE_BITS, np.int64)
         for batch in batches:
-            for _, _, block in blocks_of(texts_of(batch.column(0))):
-                table += np.bincount(cells(shingle_hashes(block, k)[1]), minlength=len(table))
-        return np.minimum(table, 0xFFFFFFFF).astype(np.uint32)
+            n, cls, spread = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for first, last, sets, edges, classes in _block_sets(texts_of(batch.column(1)), k, flat):
+                table += np.bincount(cells(sets), minlength=len(table))
+                n.append(np.diff(edges))
+                cls.append(classes)
+                of_set = np.repeat(np.arange(last - first), np.diff(edges))
+                counts = np.bincount(of_set * _SPREAD + (sets >> _U64(56)).astype(np.int64), minlength=(last - first) * _SPREAD)
+                packed = np.minimum(counts, 255).astype(np.uint8).tobytes()
+                spread += [packed[_SPREAD * i : _SPREAD * (i + 1)] for i in range(last - first)]
+            n, cls, none = np.concatenate(n), np.concatenate(cls), batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(spread, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], _ROW_NAMES)
+        chunks, packed = table_parts(np.minimum(table, 0xFFFFFFFF))
+        none = pa.nulls(len(chunks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], _ROW_NAMES)
+
+    return source.mapInArrow(run, "id long, n long, cls long, spread binary, chunk int, part binary")
 
-    return summed_table(documents, per_partition, log_scale)
+
+_ROW_NAMES = ["id", "n", "cls", "spread", "chunk", "part"]
+_SPREAD = 256
 
 
 class Members:
@@ -164,6 +204,56 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = now
 
 
+def _may_link(n: np.ndarray, spread: np.ndarray, t: int) -> np.ndarray:
+    """Which sets of a group pass the length and suffix filters with another one."""
+    order = np.argsort(n, kind="stable")
+    n, spread = n[order], spread[order]
+    unbounded = (spread == 255).any(axis=1)
+    passed = np.zeros(len(n), bool)
+    least = np.searchsorted(100 * n, t * n)
+    for i in range(len(n)):
+        j = np.arange(least[i], i)
+        if len(j):
+            most = np.minimum(spread[j], spread[i]).sum(axis=1, dtype=np.int64)
+            near = j[(most >= least_overlap(n[i], n[j], t)) | (unbounded[i] & unbounded[j])]
+            passed[near] = True
+            passed[i] |= len(near) > 0
+    out = np.zeros(len(n), bool)
+    out[order] = passed
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows that are sorted by their first column, one group at a time."""
+    waiting: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if waiting and keys[a] != key:
+                yield waiting
+                waiting = []
+            waiting.append(batch.slice(a, b - a))
+            key = keys[a]
+    if waiting:
+        yield waiting
+
+
+def _filter_groups(t: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            table = pa.Table.from_batches(rows).combine_chunks()
+            spread = np.frombuffer(b"".join(table.column("spread").to_pylist()), np.uint8).reshape(-1, _SPREAD)
+            passed = _may_link(table.column("n").to_numpy(), spread, t)
+            if passed.any():
+                yield from table.filter(pa.array(passed)).drop_columns(["n", "spread"]).combine_chunks().to_batches()
+
+    return run
+
+
 def _verify(rows: list[pa.RecordBatch], t: int) -> pa.RecordBatch:
     """Links among the sets of whole groups: (class, root, links) for each linked class."""
     table = pa.Table.from_batches(rows).combine_chunks()
@@ -189,19 +279,13 @@ def _verify(rows: list[pa.RecordBatch], t: int) -> pa.RecordBatch:
 def _verify_groups(t: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        held, last_key = 0, None
-        for batch in batches:
-            keys, counts = batch.column(0).to_numpy(), batch.column(5).to_numpy()
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if held >= limit and keys[a] != last_key:
-                    yield _verify(waiting, t)
-                    waiting, held = [], 0
-                waiting.append(batch.slice(a, b - a))
-                held += int(counts[a:b].sum())
-                last_key = keys[a]
+        held = 0
+        for rows in _whole_groups(batches):
+            waiting += rows
+            held += sum(int(batch.column("n").to_numpy().sum()) for batch in rows)
+            if held >= limit:
+                yield _verify(waiting, t)
+                waiting, held = [], 0
         if waiting:
             yield _verify(waiting, t)
 
@@ -236,28 +320,35 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     t = threshold
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rarity = spark.sparkContext.broadcast(count_shingles(source.select("text"), k))
-
-    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, cls, flat, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U64)], [np.zeros(0, np.int64)]
-        for _, _, sets, edges, classes in _block_sets(texts_of(batch.column(1)), k, rarity.value):
-            counts = np.diff(edges)
-            shown, to = _pieces(sets, edges[:-1], np.where(counts > 0, probe_length(counts, t), 0))
-            n.append(counts)
-            cls.append(classes)
-            ends.append(to[1:] + sum(map(len, flat)))
-            flat.append(shown)
-        offsets = pa.array(np.concatenate([[0], *ends]).astype(np.int32), pa.int32())
-        prefix = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(cls)), prefix], ["id", "n", "cls", "prefix"])
-
-    rows = settled(map_arrow(source, prefixes, "id long, n long, cls long, prefix array<long>"))
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
-    one_each = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = one_each.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
-    hubs = posted.groupBy("h").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "hub")
-    listed = settled(posted.join(hubs, "h"))
-    labels = listed.groupBy("cls").agg(F.min("hub").alias("label"), F.first("n").alias("n"))
+    read = settled(classes_and_counts(source, k))
+    rows = read.where("chunk IS NULL").select("id", "n", "cls")
+    table = summed_table(read.where("chunk IS NOT NULL").select("chunk", "part"), log_scale)
+    rarity = spark.sparkContext.broadcast(table if table is not None else np.zeros(1 << TABLE_BITS, np.uint8))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (h, cls, n and place) for each shingle in the prefix of each set."""
+        fresh = Fresh()
+        for batch in batches:
+            for _, _, sets, edges, classes in _block_sets(texts_of(batch.column(0)), k, rarity.value):
+                counts = np.diff(edges)
+                chosen = fresh.among(classes, np.flatnonzero(counts > 0))
+                n = counts[chosen]
+                shown = probe_length(n, t)
+                h, to = _pieces(sets, edges[:-1][chosen], shown)
+                place = np.arange(len(h)) - np.repeat(to[:-1], shown)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(classes[chosen], shown)), pa.array(np.repeat(n, shown) << 32 | place)], ["h", "cls", "at"])
+
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    in_list = Window.partitionBy("h")
+    listed = settled(
+        source.select("text")
+        .mapInArrow(post, "h long, cls long, at long")
+        .withColumn("hub", F.min("cls").over(in_list))
+        .withColumn("_last", F.max("cls").over(in_list))
+        .where("hub <> _last")
+        .select("h", "cls", "hub", "at")
+    )
+    labels = listed.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
     sizes = labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members"))
     labels = settled(
         labels.join(sizes, "label").select(
@@ -274,9 +365,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .select("cls", "label", "block", "pair", F.xxhash64("label", "pair").alias("gkey"))
     )
     # between neighbourhoods: pairs in lists that hold more than one
-    placed = listed.join(labels.select("cls", "label"), "cls").select("h", "cls", "n", "pos", "label")
+    placed = listed.join(labels.select("cls", "label"), "cls").select("h", "cls", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "label")
     mixed = placed.groupBy("h").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("h")
-    spread = settled(placed.join(mixed, "h"))
+    spread = settled(placed.join(mixed, "h").distinct())
     x, y = spread.alias("x"), spread.alias("y")
     shorter = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cls") < F.col("x.cls")))
     most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
@@ -288,8 +379,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
     ends = F.array(F.struct(F.col("xc").alias("cls"), F.col("xl").alias("label")), F.struct(F.col("yc").alias("cls"), F.col("yl").alias("label")))
     between = pairs.select("gkey", F.inline(ends)).distinct()
+    met = inside.unionByName(between.select("cls", "label", F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("pair"), "gkey"))
+    spreads = read.where("n > 0").select("cls", "n", "spread").join(labels, "cls", "left_semi").dropDuplicates(["cls"])
     groups = settled(
-        inside.unionByName(between.select("cls", "label", F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("pair"), "gkey"))
+        met.join(spreads, "cls")
+        .select("gkey", "label", "pair", "block", "cls", "n", "spread")
+        .repartition("gkey")
+        .sortWithinPartitions("gkey")
+        .mapInArrow(_filter_groups(t), "gkey long, label long, pair long, block long, cls long")
     )
 
     def flags(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -298,21 +395,21 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             table[batch.column(0).to_numpy().view(_U64) >> _U64(64 - _FILTER_BITS)] = 1
         return table
 
-    wanted = spark.sparkContext.broadcast(np.packbits(summed_table(groups.select("cls"), flags, lambda c: c > 0)) if groups.take(1) else np.zeros(1 << (_FILTER_BITS - 3), np.uint8))
+    bits = summed_table(tables_of(groups.select("cls"), flags), lambda c: c > 0)
+    wanted = spark.sparkContext.broadcast(np.packbits(bits if bits is not None else np.zeros(1 << _FILTER_BITS, np.uint8)))
 
-    def whole_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of the rows whose class may be in a group: a filter of fixed size, exact after the join."""
-        out_cls, out_n, out_sets = [], [], []
-        for _, _, sets, edges, classes in _block_sets(texts_of(batch.column(0)), k, rarity.value):
-            at = (classes.view(_U64) >> _U64(64 - _FILTER_BITS)).astype(np.int64)
-            chosen = np.flatnonzero((wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) & (np.diff(edges) > 0))
-            chosen = chosen[np.sort(np.unique(classes[chosen], return_index=True)[1])]
-            out_cls += classes[chosen].tolist()
-            out_n += np.diff(edges)[chosen].tolist()
-            out_sets += [sets[edges[i] : edges[i + 1]].tobytes() for i in chosen.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(out_cls, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_sets, pa.binary())], ["cls", "n", "shingles"])
-
-    sets = map_arrow(source.select("text"), whole_sets, "cls long, n long, shingles binary").dropDuplicates(["cls"])
+        fresh = Fresh()
+        for batch in batches:
+            for _, _, sets, edges, classes in _block_sets(texts_of(batch.column(0)), k, rarity.value):
+                at = (classes.view(_U64) >> _U64(64 - _FILTER_BITS)).astype(np.int64)
+                passed = (wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) & (np.diff(edges) > 0)
+                chosen = fresh.among(classes, np.flatnonzero(passed))
+                packed = [sets[edges[i] : edges[i + 1]].tobytes() for i in chosen.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(classes[chosen]), pa.array(np.diff(edges)[chosen]), pa.array(packed, pa.binary())], ["cls", "n", "shingles"])
+
+    sets = source.select("text").mapInArrow(whole_sets, "cls long, n long, shingles binary").dropDuplicates(["cls"])
     grouped = (
         groups.join(classes.select("cls", "size"), "cls")
         .join(sets, "cls")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, byte_bpe, jaccard_join, packing, quality_classifier, quality_rules, sharding, sql, token_counts
+from . import ball_tree, byte_bpe, jaccard_join, packing, quality_classifier, quality_rules, sharding, sql, token_counts, toxicity
 from .session import documents_of
 
 
@@ -22,6 +22,12 @@ def op2_ball_tree_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_inner_products(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op3_restored_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = documents_of(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(documents, toxicity.train(documents, labels))
+
+
 def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents_of(spark, sf_dir))
 
@@ -48,7 +54,7 @@ def op10_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bradley_terry, op2_ball_tree_top10, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op9_prefix_jaccard_join, op10_distinct_word_bpe)
+    found = (op1_bradley_terry, op2_ball_tree_top10, op3_restored_toxicity, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op9_prefix_jaccard_join, op10_distinct_word_bpe)
     return {f.__name__: f for f in found}
 
 

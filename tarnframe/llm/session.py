@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,8 +26,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def settled(df: DataFrame) -> DataFrame:
     """The frame's rows computed once and kept in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    del df
+    release(spark)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that nothing refers to any more.
+
+    The cleaner acts on collected references; without this they stay on the
+    executors' disks until the driver happens to collect garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:

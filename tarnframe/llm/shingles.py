@@ -60,29 +60,38 @@ def ranked_sets(docs: np.ndarray, hashes: np.ndarray, n_docs: int, rarity: np.nd
     return ranked[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
-def summed_table(df: DataFrame, per_partition: Callable[[Iterator[pa.RecordBatch]], np.ndarray], finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Add up one fixed-size table per partition, by chunks on the executors; ``finish`` turns sums into bytes.
+def table_parts(table: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A fixed-size table of counts as numbered, compressed chunks."""
+    return list(range(_CHUNKS)), [zstandard.compress(np.ascontiguousarray(c, np.uint32).tobytes(), 3) for c in np.split(table, _CHUNKS)]
+
+
+def summed_table(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], dtype: type = np.uint8) -> np.ndarray | None:
+    """Add up tables given as rows (chunk, part) on the executors; ``finish`` turns sums into ``dtype``.
 
     Only the finished table, of a fixed size, comes to the driver.
     """
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = per_partition(batches)
-        packed = [zstandard.compress(np.ascontiguousarray(c).tobytes(), 3) for c in np.split(table, _CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "part"])
-
     def add(chunk: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for part in batch.column(1).to_pylist():
                 counts = np.frombuffer(zstandard.decompress(part), np.uint32).astype(np.uint64)
                 total = counts if total is None else total + counts
-        packed = finish(total).astype(np.uint8).tobytes()
+        packed = finish(total).astype(dtype).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([chunk[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "part"])
 
-    summed = df.mapInArrow(parts, "chunk int, part binary").groupBy("chunk").applyInArrow(add, "chunk int, part binary")
-    rows = sorted((r["chunk"], bytes(r["part"])) for r in summed.collect())
-    return np.frombuffer(b"".join(part for _, part in rows), np.uint8)
+    rows = sorted((r["chunk"], bytes(r["part"])) for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect())
+    return np.frombuffer(b"".join(part for _, part in rows), dtype) if rows else None
+
+
+def tables_of(df: DataFrame, per_partition: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> DataFrame:
+    """One table per partition, as rows for ``summed_table``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, packed = table_parts(per_partition(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "part"])
+
+    return df.mapInArrow(run, "chunk int, part binary")
 
 
 def log_scale(counts: np.ndarray) -> np.ndarray:
