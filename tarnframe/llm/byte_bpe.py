@@ -41,7 +41,7 @@ from .textblocks import block_ranges, texts_of
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 TEXT_PER_BLOCK = 16 << 20
 #: Words whose ids a worker keeps; it starts anew when full.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 #: Word partitions for each partition of the input.
 PARTS_PER_PARTITION = 4
 #: Pre-tokens gathered at a time when texts are reassembled.
@@ -127,15 +127,15 @@ def _explode(texts: Iterator[str | None], split) -> tuple[list[str], np.ndarray,
     runs, number, counts = Numbering(), [], []
     for text in texts:
         found = UNIT.findall(text) if text else []
-        number.append(np.fromiter(map(runs.__getitem__, found), np.int64, len(found)))
+        number.append(np.fromiter(map(runs.__getitem__, found), np.int32, len(found)))
         counts.append(len(found))
     words, pieces, n_pieces = Numbering(), [], []
     for run in runs:
         cut = split(run)
         pieces += map(words.__getitem__, cut)
         n_pieces.append(len(cut))
-    n_pieces, pieces = np.array(n_pieces, np.int64), np.array(pieces, np.int64)
-    by_run = np.concatenate(number) if number else np.zeros(0, np.int64)
+    n_pieces, pieces = np.array(n_pieces, np.int64), np.array(pieces, np.int32)
+    by_run = np.concatenate(number) if number else np.zeros(0, np.int32)
     del number
     starts = np.cumsum(n_pieces) - n_pieces
     lengths = n_pieces[by_run]
@@ -144,14 +144,14 @@ def _explode(texts: Iterator[str | None], split) -> tuple[list[str], np.ndarray,
     listed = list(words)
     order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")
     order[_FREQUENT:] = sorted(order[_FREQUENT:].tolist(), key=listed.__getitem__)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     return [listed[i] for i in order], rank[stream], np.diff(upto)
 
 
 def _pack_block(ids: pa.Array, column: pa.Array, split, n_parts: int, serial: int) -> list[tuple[int, int, int, bytes]]:
     """Rows (part, block, kind, payload): the words of each part, and the stream of positions."""
-    words, stream, counts = _explode((x for x in column.to_pylist()), split)
+    words, stream, counts = _explode((x for at in range(0, len(column), 256) for x in column.slice(at, 256).to_pylist()), split)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
@@ -198,8 +198,25 @@ def _merge_words(payload: bytes, merger: Merger, memo: dict[bytes, list[int]]) -
     return pack_parts(bytes(steps), byte_planes(np.array(sizes)), byte_planes(np.array(ids)))
 
 
-def _reassemble(kinds: list[int], payloads: list[bytes]) -> tuple[pa.Array, np.ndarray, list[bytes]]:
-    """Ids of the block's documents, their token counts, and their packed token ids."""
+class TokenBytes:
+    """The table of token bytes, by id."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.lengths = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(table), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of a list of ids, ``GATHER`` ids at a time."""
+        parts = (ids[at : at + GATHER] for at in range(0, len(ids), GATHER))
+        return b"".join(ragged(self.pool, self.starts[c], self.lengths[c]).tobytes() for c in parts)
+
+
+def _reassemble(kinds: list[int], payloads: list[bytes], tokens_of: TokenBytes | None) -> tuple[pa.Array, np.ndarray, list[bytes], list[bytes | None]]:
+    """Ids of the block's documents, their token counts, their packed token ids, and those decoded (if asked for)."""
     at = [i for i, k in enumerate(kinds) if k == _STREAM]
     if len(at) != 1:
         raise RuntimeError("a block's words and positions did not meet: the input was not replayed alike")
@@ -222,7 +239,7 @@ def _reassemble(kinds: list[int], payloads: list[bytes]) -> tuple[pa.Array, np.n
     pool = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
     stream = numbers_of_planes(*(np.frombuffer(p, np.uint8) for p in planes))
     edges = np.concatenate([[0], np.cumsum(counts)])
-    n_tokens, packed = np.zeros(len(counts), np.int64), []
+    n_tokens, packed, decoded = np.zeros(len(counts), np.int64), [], []
     for first, last in block_ranges(edges, GATHER):
         mine = stream[edges[first] : edges[last]]
         tokens = ragged(pool, starts[mine], sizes[mine])
@@ -230,14 +247,23 @@ def _reassemble(kinds: list[int], payloads: list[bytes]) -> tuple[pa.Array, np.n
         n_tokens[first:last] = np.diff(upto)
         raw = tokens.astype("<u4", copy=False).tobytes()
         packed += [raw[4 * a : 4 * b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
-    return doc_ids, n_tokens, packed
+        if tokens_of is not None:
+            text = tokens_of.join(tokens)
+            cuts = np.concatenate([[0], np.cumsum(tokens_of.lengths[tokens])])[upto].tolist()
+            decoded += [text[a:b] for a, b in zip(cuts, cuts[1:])]
+    return doc_ids, n_tokens, packed, decoded or [None] * len(packed)
+
 
+def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", text_per_block: int = TEXT_PER_BLOCK, decoded: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, and ids packed as little-endian unsigned 32-bit integers.
 
-def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", text_per_block: int = TEXT_PER_BLOCK) -> DataFrame:
-    """One row per document: id, n_tokens, and ids packed as little-endian unsigned 32-bit integers."""
+    With ``decoded`` the ids also join the table of token bytes where they are
+    reassembled, into one more column; ``decode`` does the same for ids from elsewhere.
+    """
     spark = documents.sparkSession
     ranks = ranks or read_ranks(public_tokenizers.path(RANK_FILE))
     shared = spark.sparkContext.broadcast(merger_of_ranks(ranks))
+    token_bytes = spark.sparkContext.broadcast(TokenBytes(ranks) if decoded else None)
     source = documents.select(F.col(id_col), F.col(text_col))
     n_partitions = source.rdd.getNumPartitions()
     n_parts = max(1, n_partitions) * PARTS_PER_PARTITION
@@ -283,39 +309,26 @@ def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern:
                 yield _as_batch([(part, block, kind, payload if kind == _STREAM else _merge_words(payload, merger, memo))])
 
     def reassemble(table: pa.Table) -> pa.Table:
-        doc_ids, n_tokens, packed = _reassemble(table.column("kind").to_pylist(), table.column("payload").to_pylist())
-        return pa.table([doc_ids, pa.array(n_tokens), pa.array(packed, pa.binary())], [id_col, "n_tokens", "ids"])
+        doc_ids, n_tokens, packed, texts = _reassemble(table.column("kind").to_pylist(), table.column("payload").to_pylist(), token_bytes.value)
+        arrays = [doc_ids, pa.array(n_tokens), pa.array(packed, pa.binary()), pa.array(texts, pa.binary())]
+        return pa.table(arrays[:3] + arrays[3:] * decoded, [id_col, "n_tokens", "ids"] + ["decoded"] * decoded)
 
     kind = documents.schema[id_col].dataType.simpleString()
     words = source.mapInArrow(explode, _ROWS).repartition(n_parts, "part")
     merged = words.mapInArrow(merge, _ROWS)
-    return merged.groupBy("block").applyInArrow(reassemble, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return merged.groupBy("block").applyInArrow(reassemble, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Replace the packed ids by the bytes of their tokens; other columns pass."""
     ranks = ranks or read_ranks(public_tokenizers.path(RANK_FILE))
-    n = max(ranks.values(), default=-1) + 1
-    tokens = [b""] * n
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(TokenBytes(ranks))
     columns = encoded.columns
     at = columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        lengths = np.fromiter(map(len, table), np.int64, len(table))
-        starts = np.cumsum(lengths) - lengths
-        pool = np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            out = []
-            for packed in batch.column(at).to_pylist():
-                if packed is None:
-                    out.append(None)
-                    continue
-                ids = np.frombuffer(packed, "<u4")
-                out.append(b"".join(ragged(pool, starts[c], lengths[c]).tobytes() for c in np.array_split(ids, 1 + len(ids) // GATHER)))
+            out = [None if packed is None else shared.value.join(np.frombuffer(packed, "<u4")) for packed in batch.column(at).to_pylist()]
             arrays = [pa.array(out, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(arrays, [out_col if c == ids_col else c for c in columns])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, byte_bpe, jaccard_join, packing, quality_classifier, quality_rules, sharding, sql, token_counts, toxicity
+from . import ball_tree, byte_bpe, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sharding, sql, token_counts, toxicity
 from .session import documents_of
 
 
@@ -32,6 +32,10 @@ def op4_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents_of(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents_of(spark, sf_dir))
+
+
 def op6_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(documents_of(spark, sf_dir))
 
@@ -49,14 +53,14 @@ def op9_prefix_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(documents_of(spark, sf_dir)).withColumn("ids_sha256", F.sha2("ids", 256))
-    return byte_bpe.decode(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode(documents_of(spark, sf_dir), decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bradley_terry, op2_ball_tree_top10, op3_restored_toxicity, op4_whole_token_counts, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op9_prefix_jaccard_join, op10_distinct_word_bpe)
+    found = (op1_bradley_terry, op2_ball_tree_top10, op3_restored_toxicity, op4_whole_token_counts, op5_license_scan, op6_byte_prefix_shards, op7_length_buckets, op8_repetition_coverage, op9_prefix_jaccard_join, op10_distinct_word_bpe)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS, "op9_prefix_jaccard_join": sql.JACCARD_COMPONENTS}
+    return {"op5_license_scan": license_scan.licenses_sql(), "op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS, "op9_prefix_jaccard_join": sql.JACCARD_COMPONENTS}
