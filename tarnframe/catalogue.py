@@ -1,14 +1,131 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries, one or more for each operator, and their SQL."""
+
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .engine import Engine
+from .storage import scratch_path
+
+
+@dataclass(frozen=True)
+class Case:
+    """A query in the engine's language over a table; the same rows in plain SQL."""
+
+    select: str
+    table: str
+    rest: str = ""
+    oracle: str = ""
+
+
+def _same(select: str, table: str, rest: str = "") -> Case:
+    return Case(select, table, rest, f"SELECT {select} FROM {table} {rest}")
+
+
+_LINE_COLUMNS = "l_orderkey, l_quantity, l_extendedprice, l_discount, l_returnflag"
+_BENCH_LIMIT = "WHERE l_quantity > 30 AND l_quantity < 45 AND l_returnflag = 'R' AND l_extendedprice > 50000.0 LIMIT 1000"
+_BENCH_SCAN = "WHERE l_quantity > 10 AND l_quantity < 45 AND l_returnflag = 'R' AND l_extendedprice > 5000.0 AND NOT (l_linestatus = 'O') AND NOT NOT (l_quantity > 5)"
+
+CASES: dict[str, Case] = {
+    "scan_star": _same("*", "region"),
+    "project_cols": _same("n_name, n_regionkey", "nation"),
+    "project_reorder": _same("s_acctbal, s_name, s_suppkey", "supplier"),
+    "project_paren": Case("(n_name), (n_nationkey)", "nation", "", "SELECT n_name, n_nationkey FROM nation"),
+    "filter_eq_str": _same("*", "orders", "WHERE o_orderstatus = 'F'"),
+    "filter_ne": _same("o_orderkey, o_orderpriority", "orders", "WHERE o_orderpriority != '1-URGENT'"),
+    "filter_gt": _same("l_orderkey, l_linenumber, l_quantity", "lineitem", "WHERE l_quantity > 45"),
+    "filter_ge": _same("l_orderkey, l_linenumber, l_quantity", "lineitem", "WHERE l_quantity >= 45"),
+    "filter_lt": _same("l_orderkey, l_linenumber, l_extendedprice", "lineitem", "WHERE l_extendedprice < 2000.5"),
+    "filter_le": _same("l_orderkey, l_linenumber, l_tax", "lineitem", "WHERE l_tax <= 0.01"),
+    "filter_and": _same(_LINE_COLUMNS, "lineitem", "WHERE l_quantity > 30 AND l_returnflag = 'R'"),
+    "filter_or": _same(_LINE_COLUMNS, "lineitem", "WHERE l_quantity > 48 OR l_discount = 0.1"),
+    "filter_not": _same(_LINE_COLUMNS, "lineitem", "WHERE NOT l_returnflag = 'N'"),
+    "filter_nested": _same(_LINE_COLUMNS, "lineitem", "WHERE (l_quantity > 40 OR l_discount < 0.02) AND NOT (l_returnflag = 'R' OR l_tax > 0.05)"),
+    "filter_int_float": _same("p_partkey, p_size", "part", "WHERE p_size > 10.5"),
+    "filter_float_int": _same("l_orderkey, l_linenumber, l_quantity", "lineitem", "WHERE l_quantity >= 30 AND l_quantity < 32"),
+    "filter_str_range": _same("n_name", "nation", "WHERE n_name >= 'J'"),
+    "filter_col_col": _same("l_orderkey, l_linenumber", "lineitem", "WHERE l_discount > l_tax"),
+    "filter_null_ne": Case("o_orderkey", "orders", "WHERE o_orderpriority != NULL", "SELECT o_orderkey FROM orders WHERE o_orderpriority IS NOT NULL"),
+    "filter_null_eq": Case("o_orderkey", "orders", "WHERE o_orderpriority = NULL", "SELECT o_orderkey FROM orders WHERE o_orderpriority IS NULL"),
+    "filter_chained": Case("l_orderkey, l_linenumber", "lineitem", "WHERE l_quantity > 40 = true", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity > 40) = true"),
+    "filter_bare": Case("n_name", "nation", "WHERE true", "SELECT n_name FROM nation"),
+    "filter_bare_number": Case("n_name", "nation", "WHERE n_nationkey", "SELECT n_name FROM nation WHERE false"),
+    "fold_true": Case("n_name", "nation", "WHERE 1 = 1 AND n_regionkey = 2", "SELECT n_name FROM nation WHERE n_regionkey = 2"),
+    "fold_false": Case("n_name", "nation", "WHERE NULL = NULL", "SELECT n_name FROM nation WHERE false"),
+    "fold_not_not": Case("n_name", "nation", "WHERE NOT NOT (n_regionkey >= 3)", "SELECT n_name FROM nation WHERE n_regionkey >= 3"),
+    "count_star": Case("COUNT(*)", "lineitem", "", "SELECT count(*) AS count_star FROM lineitem"),
+    "count_star_filter": Case("COUNT(*)", "lineitem", "WHERE l_discount > 0.05", "SELECT count(*) AS count_star FROM lineitem WHERE l_discount > 0.05"),
+    "count_col": Case("COUNT(l_quantity)", "lineitem", "", "SELECT count(l_quantity) AS count_l_quantity FROM lineitem"),
+    "count_col_filter": Case("COUNT(l_tax)", "lineitem", "WHERE l_returnflag = 'A'", "SELECT count(l_tax) AS count_l_tax FROM lineitem WHERE l_returnflag = 'A'"),
+    "count_multi": Case("COUNT(*), COUNT(o_orderdate)", "orders", "", "SELECT count(*) AS count_star, count(o_orderdate) AS count_o_orderdate FROM orders"),
+    "count_mixed": Case("l_returnflag, COUNT(*)", "lineitem", "", "SELECT count(*) AS count_star FROM lineitem"),
+    "limit_n": _same("*", "nation", "LIMIT 7"),
+    "limit_zero": _same("*", "nation", "LIMIT 0"),
+    "offset_n": _same("*", "nation", "OFFSET 20"),
+    "limit_offset": _same("*", "nation", "LIMIT 5 OFFSET 10"),
+    "limit_filter": _same("n_nationkey, n_name", "nation", "WHERE n_regionkey >= 2 LIMIT 4 OFFSET 1"),
+    "limit_over_count": Case("COUNT(*)", "nation", "LIMIT 0", "SELECT count(*) AS count_star FROM nation LIMIT 0"),
+    "offset_over_count": Case("COUNT(*)", "nation", "OFFSET 1", "SELECT count(*) AS count_star FROM nation OFFSET 1"),
+    "bench_limit": _same(_LINE_COLUMNS, "lineitem", _BENCH_LIMIT),
+    "bench_scan": _same(_LINE_COLUMNS, "lineitem", _BENCH_SCAN),
+    "bench_count": Case("COUNT(*)", "lineitem", "", "SELECT count(*) AS count_star FROM lineitem"),
+    "bench_count_filter": Case("COUNT(l_quantity)", "lineitem", "WHERE l_quantity > 30 AND l_returnflag = 'R'", "SELECT count(l_quantity) AS count_l_quantity FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'"),
+}
+
+
+def statement(case: Case, path: str) -> str:
+    return f"SELECT {case.select} FROM '{path}' {case.rest}"
+
+
+def _run(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).sql(statement(case, f"{sf_dir}/{case.table}.parquet"))
+
+
+def csv_copy(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """The table as CSV with a header, in a shared folder; the path of the copy."""
+    path = scratch_path(spark, f"{table}-csv")
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").coalesce(1).write.csv(path, header=True)
+    return path
+
+
+def _csv_query(table: str, select: str, rest: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).sql(f"SELECT {select} FROM '{csv_copy(spark, sf_dir, table)}' {rest}")
+
+
+def csv_bad_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells past the sampled lines that don't have their column's type are NULL."""
+    rows = ["id,score"] + [f"{i},{i}.5" for i in range(20)] + ["x,1.5", "21,y", ",", "null,null", "3.5,7"]
+    path = scratch_path(spark, "bad-cells-csv")
+    spark.createDataFrame([(r,) for r in rows], "line string").coalesce(1).write.text(path)
+    return Engine(spark).sql(f"SELECT score FROM '{path}' WHERE id = NULL")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = "l_quantity > 30 AND l_quantity < 45 AND l_returnflag = 'R' AND NOT (l_discount > 0.05)"
+    return Engine(spark).sql(f"SELECT {_LINE_COLUMNS} FROM '{sf_dir}/lineitem.parquet' WHERE {where}")
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity")
+_CSV_CASES = {
+    "csv_infer": ("customer", "c_custkey, c_name, c_acctbal", "WHERE c_acctbal > 5000 AND c_nationkey < 10"),
+    "csv_count": ("supplier", "COUNT(*), COUNT(s_acctbal)", "WHERE s_acctbal >= 0.0"),
+}
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, case) for name, case in CASES.items()}
+    found |= {name: partial(_csv_query, *parts) for name, parts in _CSV_CASES.items()}
+    return found | {"csv_bad_cells": csv_bad_cells, "flagship": flagship}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    where = "l_quantity > 30 AND l_quantity < 45 AND l_returnflag = 'R' AND NOT (l_discount > 0.05)"
+    return {name: case.oracle for name, case in CASES.items()} | {
+        "csv_infer": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 10",
+        "csv_count": "SELECT count(*) AS count_star, count(s_acctbal) AS count_s_acctbal FROM supplier WHERE s_acctbal >= 0.0",
+        "csv_bad_cells": "SELECT CAST(score AS DOUBLE) AS score FROM (VALUES (1.5), (NULL), (NULL), (7.0)) v(score)",
+        "flagship": f"SELECT {_LINE_COLUMNS} FROM lineitem WHERE {where}",
+    }
