@@ -169,7 +169,7 @@ def _pack_block(ids: pa.Array, column: pa.Array, split, n_parts: int, serial: in
         if len(mine):
             steps = byte_planes(np.diff(mine, prepend=0))
             rows.append((k, block, k, pack_parts(steps, byte_planes(lengths[mine]), b"".join([encoded[i] for i in mine]))))
-    rows.append((serial % n_parts, block, _STREAM, pack_parts(head, byte_planes(counts), np.array([len(words)], np.uint64), *planes)))
+    rows.append((zlib.crc32(struct.pack("<q", serial)) % n_parts, block, _STREAM, pack_parts(head, byte_planes(counts), np.array([len(words)], np.uint64), *planes)))
     return rows
 
 
