@@ -12,8 +12,8 @@ pair that shares one is verified: the share of the template's shingles found in
 the window must reach ``containment``.
 
 Before any window is formed, texts (then windows) without an anchor word are left
-out: every shingle of every template holds an anchor, its longest word, so they
-share no shingle with any template.
+out: anchors are chosen so that whatever reaches the containment holds one, so no
+match is lost.
 
 Templates are a parameter of fixed size and are broadcast.  No shuffle but that of
 the matches.  Defined results: null, empty and short texts match nothing; rows
@@ -24,7 +24,9 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,20 +84,43 @@ def template_of(name: str, text: str) -> Template:
     return Template(name, tuple(dict.fromkeys(runs)), width)
 
 
-def anchors(templates: list[Template]) -> list[str]:
-    """A word of every shingle: the longest, the first of equals."""
-    return sorted({max(s.split(" "), key=len) for t in templates for s in t.shingles})
+def anchors(templates: list[Template], containment: float) -> list[str]:
+    """Words of which every match holds one.
+
+    A match finds all but a few of a template's shingles, so the words need to
+    lie in one shingle more than may be missing; long words are taken first, as
+    they are rarer in other texts.
+    """
+    chosen: set[str] = set()
+    for t in templates:
+        m = len(t.shingles)
+        held = [set(s.split(" ")) for s in t.shingles]
+        for word in sorted(set().union(*held), key=lambda w: (-len(w), w)):
+            if sum(bool(chosen & words) for words in held) > m - _enough(m, containment):
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
+def _enough(m: int, containment: float) -> int:
+    """Shingles of a template of m that make a match."""
+    return math.ceil(round(containment * m, 9))
 
 
 def bands_needed(templates: list[Template], containment: float, recall: float) -> int:
     """One-value bands for which a pair at the limit meets with probability ``recall``."""
     least = 1.0
     for t in templates:
-        shared = math.ceil(containment * len(t.shingles))
+        shared = _enough(len(t.shingles), containment)
         least = min(least, shared / (t.width + len(t.shingles) - shared))
     return 1 if least >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - least))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` refers to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _signature(hashes: Column, n_bands: int) -> Column:
     """For each band, the least rehash of the window's shingles."""
     return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band))))
@@ -111,24 +136,46 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     """One row for each document and license found: id, license, template_shingles, found_shingles."""
     known = [template_of(name, text) for name, text in (templates or TEMPLATES).items()]
     n_bands = bands_needed(known, containment, RECALL)
-    held = F.array(*[F.lit(w) for w in anchors(known)])
-    widths = F.array(*[F.lit(w) for w in sorted({t.width for t in known})])
+    held_words = anchors(known, containment)
+    held = F.array(*map(F.lit, held_words))
+    widths = sorted({t.width for t in known})
     k = SHINGLE_WORDS
-    texts = documents.select(F.col(id_col), _words(F.col(text_col)).alias("w"))
-    texts = texts.where((F.size("w") >= k) & F.arrays_overlap("w", held))
+    def anchored(w: Column) -> Column:
+        return (F.size(w) >= k) & F.arrays_overlap(w, held)
+
+    def windows_of(w: Column) -> Column:
+        """The anchored windows of all widths, each with its words only."""
+
+        def cut(width: int) -> Column:
+            begins = F.sequence(F.lit(0), F.size(w) - k, F.lit(width // 2))
+            return F.transform(begins, lambda at: F.struct(F.lit(width).alias("width"), F.slice(w, at + 1, width + k - 1).alias("w")))
+
+        return F.filter(F.concat(*map(cut, widths)), lambda x: anchored(x["w"]))
+
+    def signed(w: Column) -> Column:
+        """A window's shingles and its signature."""
+        seen = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+        signature = _let(F.transform(seen, lambda s: F.xxhash64(s)), lambda hashes: _signature(hashes, n_bands))
+        return F.struct(seen.alias("seen"), signature.alias("signature"))
+
+    def may_match(text: Column) -> Column:
+        """Whether an anchor is a substring at all, which costs less than finding words."""
+        return _let(F.lower(text), lambda t: reduce(Column.__or__, (F.contains(t, F.lit(a)) for a in held_words)))
+
+    # the outer explodes keep the optimizer from evaluating their arrays a second time, in a filter
+    text = F.col(text_col)
+    found = F.when(may_match(text), _let(_words(text), lambda w: F.when(anchored(w), windows_of(w))))
     windows = (
-        texts.withColumn("width", F.explode(widths))
-        .withColumn("start", F.explode(F.sequence(F.lit(0), F.size("w") - k, (F.col("width") / 2).cast("int"))))
-        .withColumn("w", F.slice("w", F.col("start") + 1, F.col("width") + k - 1))
-        .where((F.size("w") >= k) & F.arrays_overlap("w", held))
-        .withColumn("seen", F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))
-        .select(id_col, "width", "seen", F.posexplode(_signature(F.transform("seen", lambda s: F.xxhash64(s)), n_bands)).alias("band", "value"))
+        documents.select(F.col(id_col), F.explode_outer(found).alias("x"))
+        .where("x IS NOT NULL")
+        .select(id_col, F.col("x.width").alias("width"), signed(F.col("x.w")).alias("window"))
+        .select(id_col, "width", F.col("window.seen").alias("seen"), F.posexplode_outer("window.signature").alias("band", "value"))
     )
     shared = F.size(F.array_intersect("seen", "shingles"))
     return (
         windows.join(F.broadcast(_template_rows(documents.sparkSession, known, n_bands)), ["width", "band", "value"])
         .select(id_col, "license", F.size("shingles").cast("long").alias("template_shingles"), shared.cast("long").alias("found_shingles"))
-        .where(F.col("found_shingles") >= F.ceil(F.lit(containment) * F.col("template_shingles")))
+        .where(F.col("found_shingles") >= F.ceil(F.round(F.lit(containment) * F.col("template_shingles"), 9)))
         .groupBy(id_col, "license", "template_shingles")
         .agg(F.max("found_shingles").alias("found_shingles"))
     )
@@ -159,5 +206,5 @@ SELECT doc_id, license, CAST(len(shingles) AS BIGINT) AS template_shingles,
        CAST(max(len(list_intersect(s, shingles))) AS BIGINT) AS found_shingles
 FROM seen JOIN templates USING (width)
 GROUP BY doc_id, license, shingles
-HAVING max(len(list_intersect(s, shingles))) >= ceil({containment} * len(shingles))
+HAVING max(len(list_intersect(s, shingles))) >= ceil(round({containment} * len(shingles), 9))
 """
