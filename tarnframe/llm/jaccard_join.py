@@ -77,7 +77,8 @@ def _block_sets(texts, k: int, rarity: np.ndarray) -> Iterator[tuple[int, int, n
     for first, last, block in blocks_of(texts):
         docs, hashes = shingle_hashes(block, k)
         sets, edges = ranked_sets(docs, hashes, block.n_docs, rarity)
-        total = np.concatenate([[0], np.cumsum(mix64(sets))]).astype(_U64)
+        total = np.zeros(len(sets) + 1, _U64)
+        np.cumsum(mix64(sets), out=total[1:])
         classes = mix64(total[edges[1:]] - total[edges[:-1]] + np.diff(edges).astype(_U64)).view(np.int64)
         yield first, last, sets, edges, classes
 
@@ -435,8 +436,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all its columns; rows without an id stay."""
     found = near_duplicates(documents.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = found.where(F.col(id_col).cast("long") == F.col("component_id")).select(F.col("component_id").alias("_kept")).distinct()
-    kept = documents.join(first, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    first = found.where(F.col(id_col).cast("long") == F.col("component_id")).select("component_id").distinct()
+    kept = documents.join(first, documents[id_col].cast("long") == first["component_id"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(documents.where(F.col(id_col).isNull()))
 
 
