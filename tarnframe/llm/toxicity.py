@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, labelled_sample
 from .session import map_arrow, settled
 from .shingles import shingle_hashes, summed_table, tables_of
-from .textblocks import LOWER_VALUES, Block, Texts, block_of, block_ranges, mix64, texts_of
+from .textblocks import LOWER_VALUES, Block, Texts, block_of, block_ranges, keyed_by_doc, mix64, texts_of
 
 MAX_ROWS = 20_000
 FEATURE_BITS = 20
@@ -226,7 +226,7 @@ def restored_texts(block: Block, model: CharacterModel) -> Texts:
 
 
 def word_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Words' documents, and their features as one column for each beginning and one for the whole."""
+    """Words' documents, and hashes of their features: a column for the whole word and one for each beginning."""
     data = block.data
     starts, ends = block.starts.copy(), block.ends.copy()
     for _ in range(4):
@@ -237,13 +237,19 @@ def word_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     for k in BEGINNINGS:
         hashes = mix64(block.span_hashes(sums, starts, np.minimum(starts + k, ends)) + _U64(k))
         columns.append(np.where(ends - starts > k, hashes, columns[0]))
-    return block.doc, (np.column_stack(columns) >> _U64(64 - FEATURE_BITS)).astype(np.int64)
+    return block.doc, np.column_stack(columns)
+
+
+def feature_cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A feature's cells in the two tables; it counts as known only if both say so."""
+    low = hashes >> _U64(64 - 2 * FEATURE_BITS) & _U64((1 << FEATURE_BITS) - 1)
+    return (hashes >> _U64(64 - FEATURE_BITS)).astype(np.int64), low.astype(np.int64)
 
 
 @dataclass
 class ToxicityModel:
     characters: CharacterModel
-    #: weight of each hashed feature; 0 for what isn't in the lexicon
+    #: weight of each cell of the two tables; 0 for what isn't in the lexicon
     lexicon: np.ndarray
     coefficients: np.ndarray
 
@@ -254,7 +260,8 @@ class ToxicityModel:
             restored = restored_texts(block_of(texts, first, last), self.characters)
             block = block_of(restored, 0, len(restored))
             doc, features = word_features(block)
-            weight = self.lexicon[features].max(axis=1) if len(features) else np.zeros(0)
+            a, b = feature_cells(features)
+            weight = np.minimum(self.lexicon[0][a], self.lexicon[1][b]).max(axis=1) if len(features) else np.zeros(0)
             found = weight > 0
             most = np.zeros(block.n_docs)
             np.maximum.at(most, doc[found], weight[found])
@@ -271,15 +278,15 @@ class ToxicityModel:
 def lexicon_of(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of each feature the log-odds of toxic against clean rows, less 1.64 of its standard errors; 0 if that is small.
 
-    ``counts`` and ``rows`` have toxic rows first.
+    ``counts`` are by table, label (toxic first) and cell; ``rows`` by label.
     """
-    toxic, clean = counts
+    toxic, clean = counts[:, 0], counts[:, 1]
     odds = np.log((toxic + 0.5) / (rows[0] + 1)) - np.log((clean + 0.5) / (rows[1] + 1))
     sure = odds - 1.64 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
     return np.where((sure > 1) & (toxic >= 3), sure, 0.0).astype(np.float32)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 60) -> np.ndarray:
     """Newton steps on the mean logistic loss; the first coefficient is the constant."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
@@ -309,25 +316,29 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     """Characters from all documents; lexicon and score from at most ``max_rows`` rows with crc32(id) mod 5 not 0."""
     characters = count_characters(documents, text_col)
     size = 1 << FEATURE_BITS
-    model = ToxicityModel(characters, np.zeros(size, np.float32), np.array([-30.0, 0, 0, 0]))
+    model = ToxicityModel(characters, np.zeros((2, size), np.float32), np.array([-30.0, 0, 0, 0]))
     sample = labelled_sample(documents, labels, id_col, text_col, label_col, held_out(id_col, 5, 0), max_rows)
     kind = documents.schema[id_col].dataType.simpleString()
     sample = settled(map_arrow(sample, copy_keys, f"`{id_col}` {kind}, _text string, _label int, _key long").dropDuplicates(["_key", "_label"]))
     sample = sample.select(id_col, "_text", "_label", F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(2)).cast("int").alias("_half"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        """By half and label (toxic first): the rows with each feature."""
-        table = np.zeros((4, size), np.int64)
+        """By half, table and label (toxic first): the rows with each feature."""
+        table = np.zeros((2, 2, 2, size), np.uint32)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            kind = 2 * batch.column(3).to_numpy() + (batch.column(2).to_numpy() <= 0)
+            half, clean = batch.column(3).to_numpy(), (batch.column(2).to_numpy() <= 0).astype(int)
             for first, last in block_ranges(texts.offsets):
                 restored = restored_texts(block_of(texts, first, last), characters)
                 doc, features = word_features(block_of(restored, 0, len(restored)))
-                pairs = np.unique((doc[:, None] * size + features).ravel())
-                of_pair = kind[first:last][pairs // size]
-                for k in range(4):
-                    table[k] += np.bincount(pairs[of_pair == k] % size, minlength=size)
+                of_feature = np.repeat(doc, features.shape[1])
+                _, once = np.unique(keyed_by_doc(features.ravel(), of_feature), return_index=True)
+                of_feature, found = of_feature[once] + first, feature_cells(features.ravel()[once])
+                for h in (0, 1):
+                    for k in (0, 1):
+                        mine = (half[of_feature] == h) & (clean[of_feature] == k)
+                        for at in (0, 1):
+                            table[h, at, k] += np.bincount(found[at][mine], minlength=size).astype(np.uint32)
         return table.ravel()
 
     numbers = np.zeros((2, 2))
@@ -335,7 +346,7 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
         numbers[half, int(clean)] = n
     if not numbers.all():
         return model
-    counts = summed_table(tables_of(sample, presence), lambda x: x, np.uint32).reshape(2, 2, size).astype(float)
+    counts = summed_table(tables_of(sample, presence), lambda x: x, np.uint32).reshape(2, 2, 2, size).astype(float)
     other = [ToxicityModel(characters, lexicon_of(counts[1 - half], numbers[1 - half]), model.coefficients) for half in (0, 1)]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
