@@ -63,4 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.licenses_sql(), "op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS, "op9_prefix_jaccard_join": sql.JACCARD_COMPONENTS}
+    limits = quality_rules.RepetitionLimits()
+    return {
+        "op2_ball_tree_top10": sql.TOP_INNER_PRODUCTS,
+        "op5_license_scan": license_scan.licenses_sql(),
+        "op8_repetition_coverage": sql.repetition_sql(limits.ngram_percent, limits.line_percent, quality_rules.BASE_NGRAM, quality_rules.BASE_REPEAT_PERCENT, quality_rules.MIN_WORDS),
+        "op9_prefix_jaccard_join": sql.JACCARD_COMPONENTS,
+    }

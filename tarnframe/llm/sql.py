@@ -48,3 +48,47 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_
 FROM sets s LEFT JOIN classes c ON len(s.s) > 0 AND c.s = list_sort(s.s)
 LEFT JOIN roots r ON r.x = c.rep LEFT JOIN degrees d ON d.x = c.rep
 """
+
+
+def repetition_sql(ngram_percent: tuple[tuple[int, int], ...], line_percent: int, base_ngram: int, base_percent: int, min_words: int) -> str:
+    """The repetition rules over ``documents``, with every n-gram spelt out."""
+    sizes = sorted({base_ngram, *(k for k, _ in ngram_percent)})
+    grams = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS g, unnest(range(len(ws) - {k - 1})) AS p FROM texts WHERE len(ws) >= {k}" for k in sizes
+    )
+    columns = ", ".join(f"CAST(coalesce(max(chars) FILTER (k = {k}), 0) AS BIGINT) AS dup_{k}gram_chars" for k, _ in ngram_percent)
+    names = ", ".join(f"coalesce(dup_{k}gram_chars, 0) AS dup_{k}gram_chars" for k, _ in ngram_percent)
+    within = " AND ".join(f"100 * dup_{k}gram_chars <= {percent} * word_chars" for k, percent in ngram_percent)
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), words AS (
+  SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM texts
+), grams AS (
+  {grams}
+), repeated AS (
+  SELECT r, k, p FROM (SELECT r, k, p, count(*) OVER (PARTITION BY r, k, g) AS n FROM grams) WHERE n > 1
+), places AS (
+  SELECT DISTINCT r, k, p + unnest(range(k)) AS p FROM repeated
+), inside AS (
+  SELECT r, k, count(*) AS n_words, sum(length(w)) AS chars FROM places JOIN words USING (r, p) GROUP BY r, k
+), of_grams AS (
+  SELECT r, CAST(coalesce(max(n_words) FILTER (k = {base_ngram}), 0) AS BIGINT) AS n_repeat_words, {columns} FROM inside GROUP BY r
+), lines AS (
+  SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY line_no) AS nth
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), of_lines AS (
+  SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS dup_line_chars FROM lines WHERE nth > 1 GROUP BY r
+), counted AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, {names}
+  FROM texts LEFT JOIN of_grams USING (r) LEFT JOIN of_lines USING (r)
+), based AS (
+  SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {base_percent} * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND 100 * dup_line_chars <= {line_percent} * word_chars AND {within} AS kept FROM based
+"""
