@@ -16,8 +16,9 @@
    suffix filter), and sets without a partner within the bounds drop out.  The
    sets that remain are sent once to one task for each group, and joined there by
    prefix index, length, suffix and exact verification, once per pair.  A
-   neighbourhood with more shingles than ``GROUP_SHINGLES`` is cut into blocks, and
-   each two blocks meet in a task of their own.
+   neighbourhood with more shingles than ``GROUP_SHINGLES`` or more sets than
+   ``GROUP_MEMBERS`` is cut into blocks, and each two blocks meet in a task of
+   their own.
 5. Components of the links are contracted by alternating stars.
 
 Sets are compared through 64-bit hashes of shingles and classes through a 64-bit
@@ -48,6 +49,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 75
 #: Shingles that one verification task holds at a time.
 GROUP_SHINGLES = 2_000_000
+#: Sets of a neighbourhood that one task compares at a time.
+GROUP_MEMBERS = 4096
 _RANGES = 64
 _FILTER_BITS = 23
 _U64 = np.uint64
@@ -116,20 +119,22 @@ def classes_and_counts(source: DataFrame, k: int) -> DataFrame:
     flat = np.zeros(1 << TABLE_BITS, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << TABLE_BITS, np.uint32)
         for batch in batches:
-            n, cls, spread = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            n, cls, spread, hit = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
             for first, last, sets, edges, classes in _block_sets(texts_of(batch.column(1)), k, flat):
-                table += np.bincount(cells(sets), minlength=len(table))
+                hit.append(cells(sets).astype(np.int32))
                 n.append(np.diff(edges))
                 cls.append(classes)
                 of_set = np.repeat(np.arange(last - first), np.diff(edges))
                 counts = np.bincount(of_set * _SPREAD + (sets >> _U64(56)).astype(np.int64), minlength=(last - first) * _SPREAD)
                 packed = np.minimum(counts, 255).astype(np.uint8).tobytes()
                 spread += [packed[_SPREAD * i : _SPREAD * (i + 1)] for i in range(last - first)]
+            cell, times = np.unique(np.concatenate(hit), return_counts=True)
+            table[cell] += times.astype(np.uint32)
             n, cls, none = np.concatenate(n), np.concatenate(cls), batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(spread, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], _ROW_NAMES)
-        chunks, packed = table_parts(np.minimum(table, 0xFFFFFFFF))
+        chunks, packed = table_parts(table)
         none = pa.nulls(len(chunks), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], _ROW_NAMES)
 
@@ -352,9 +357,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     labels = listed.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
     sizes = labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members"))
     labels = settled(
-        labels.join(sizes, "label").select(
-            "cls", "label", F.ceil(F.col("_total") / GROUP_SHINGLES).cast("long").alias("blocks"), F.expr(f"pmod(xxhash64(cls), ceil(_total / {GROUP_SHINGLES}))").cast("long").alias("block"), "_members"
-        )
+        labels.join(sizes, "label")
+        .withColumn("blocks", F.greatest(F.ceil(F.col("_total") / GROUP_SHINGLES), F.ceil(F.col("_members") / GROUP_MEMBERS)).cast("long"))
+        .select("cls", "label", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), "_members")
     )
     # inside neighbourhoods: each block meets each block (itself included)
     first_of = F.least("block", F.col("_other"))

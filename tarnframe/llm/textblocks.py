@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _U64 = np.uint64
 _MIX_A = _U64(0xBF58476D1CE4E5B9)
@@ -54,7 +54,7 @@ def _power_table(kind: str, n: int) -> np.ndarray:
         table[0] = 1
         table[1:] = base
         np.multiply.accumulate(table, out=table)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 8 * BLOCK_BYTES:
             _powers[kind] = table
     return table[:n]
 
