@@ -34,6 +34,25 @@ def aggregate(rows: DataFrame, counts: list[Count]) -> DataFrame:
     return rows.agg(*made).toDF(*(c.label for c in counts))
 
 
+def skip_rows(rows: DataFrame, n: int) -> DataFrame:
+    """All but the first n rows, each left where it is.
+
+    Spark's own OFFSET without a LIMIT moves every row to one task.  Rows of a scan
+    have a fixed place (partition, number in it), so it is enough to count the
+    partitions' rows and to drop the rows before the n-th place.
+    """
+    if rows.isStreaming or rows.rdd.getNumPartitions() == 1:
+        return rows.offset(n)
+    place = F.monotonically_increasing_id()  # the partition's number above bit 33, the row's below
+    counts = rows.select(F.shiftright(place, 33).alias("part")).groupBy("part").count().collect()
+    before = 0
+    for part, count in sorted(counts):
+        if before + count > n:
+            return rows.withColumn("_place", place).where(F.col("_place") >= (part << 33) + n - before).drop("_place")
+        before += count
+    return rows.limit(0)
+
+
 def limit_rows(rows: DataFrame, limit: int | None, offset: int | None) -> DataFrame:
     """Skip, then take."""
     if offset:
@@ -46,5 +65,8 @@ def build(relation: Relation, bound: Bound) -> DataFrame:
     query, rows = bound.query, relation.rows
     if query.where is not None:
         rows = filter_rows(rows, query.where, bound)
-    rows = aggregate(rows, bound.counts) if bound.counts else project(rows, bound.names)
-    return limit_rows(rows, query.limit, query.offset)
+    if bound.counts:
+        return limit_rows(aggregate(rows, bound.counts), query.limit, query.offset)
+    if query.offset and query.limit is None:
+        return project(skip_rows(rows, query.offset), bound.names)
+    return limit_rows(project(rows, bound.names), query.limit, query.offset)

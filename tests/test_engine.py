@@ -121,6 +121,10 @@ def test_files_in_several_splits(spark, sql):
     try:
         df = sql(text, "SELECT id FROM t")
         assert df.rdd.getNumPartitions() > 4 and sorted(r[0] for r in rows(df)) == list(range(20_000))
+        for n in (1, 9_000, 19_999, 20_000, 30_000):
+            assert sorted(r[0] for r in rows(sql(text, f"SELECT id FROM t OFFSET {n}"))) == list(range(n, 20_000))
+        skipped = sql(text, "SELECT id FROM t WHERE id > 4999 OFFSET 100")
+        assert sorted(r[0] for r in rows(skipped)) == list(range(5100, 20_000)) and skipped.rdd.getNumPartitions() > 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
