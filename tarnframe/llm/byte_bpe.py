@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import UNIT, Merger, merger_of_ranks, read_ranks, splitter
+from .session import bound_batches
 from .textblocks import block_ranges, texts_of
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -260,6 +261,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern:
     With ``decoded`` the ids also join the table of token bytes where they are
     reassembled, into one more column; ``decode`` does the same for ids from elsewhere.
     """
+    bound_batches(documents.sparkSession)
     spark = documents.sparkSession
     ranks = ranks or read_ranks(public_tokenizers.path(RANK_FILE))
     shared = spark.sparkContext.broadcast(merger_of_ranks(ranks))

@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch at most, roughly; the session's own setting holds if it is smaller.
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tarnframe"
 
 
@@ -44,6 +48,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts don't fill the memory of executors and workers."""
+    size = spark.conf.get(_BATCH_SETTING, "64m").lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(size[-1:], 0)
+    if not 0 < int(size.rstrip("kmg")) << scale <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -57,4 +69,5 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
             if out is not None:
                 yield out
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

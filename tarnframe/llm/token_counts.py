@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import UNIT, Merger, byte_characters, merger_of_merges, splitter
+from .session import bound_batches
 from .textblocks import block_ranges, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -111,6 +112,7 @@ def prove_whole_tokens(path: str) -> WholeTokens:
 
 def count_tokens(documents: DataFrame, path: str | None = None, limit: int = TOKEN_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit."""
+    bound_batches(documents.sparkSession)
     proven = prove_whole_tokens(path or public_tokenizers.path(VOCABULARY))
     shared = documents.sparkSession.sparkContext.broadcast((proven.merger, proven.whole, proven.special))
 

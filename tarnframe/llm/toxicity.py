@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
-from .session import map_arrow, settled
+from .session import bound_batches, map_arrow, settled
 from .shingles import shingle_hashes, summed_table, tables_of
 from .textblocks import LOWER_VALUES, Block, Texts, block_of, block_ranges, keyed_by_doc, mix64, texts_of
 
@@ -314,6 +314,7 @@ def copy_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> ToxicityModel:
     """Characters from all documents; lexicon and score from at most ``max_rows`` rows with crc32(id) mod 5 not 0."""
+    bound_batches(documents.sparkSession)
     characters = count_characters(documents, text_col)
     size = 1 << FEATURE_BITS
     model = ToxicityModel(characters, np.zeros((2, size), np.float32), np.array([-30.0, 0, 0, 0]))
