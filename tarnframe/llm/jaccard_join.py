@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import settled
+from .session import bound_batches, settled
 from .shingles import TABLE_BITS, cells, log_scale, ranked_sets, shingle_hashes, summed_table, table_parts, tables_of
 from .textblocks import blocks_of, mix64, texts_of
 
@@ -119,7 +119,7 @@ def classes_and_counts(source: DataFrame, k: int) -> DataFrame:
     flat = np.zeros(1 << TABLE_BITS, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.uint32)
+        table = np.zeros(1 << TABLE_BITS, np.uint16)  # saturating: only the order depends on it
         for batch in batches:
             n, cls, spread, hit = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
             for first, last, sets, edges, classes in _block_sets(texts_of(batch.column(1)), k, flat):
@@ -131,7 +131,7 @@ def classes_and_counts(source: DataFrame, k: int) -> DataFrame:
                 packed = np.minimum(counts, 255).astype(np.uint8).tobytes()
                 spread += [packed[_SPREAD * i : _SPREAD * (i + 1)] for i in range(last - first)]
             cell, times = np.unique(np.concatenate(hit), return_counts=True)
-            table[cell] += times.astype(np.uint32)
+            table[cell] = np.minimum(table[cell] + times, 0xFFFF)
             n, cls, none = np.concatenate(n), np.concatenate(cls), batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(spread, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], _ROW_NAMES)
         chunks, packed = table_parts(table)
@@ -324,6 +324,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), n_links."""
     t = threshold
+    bound_batches(documents.sparkSession)
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = settled(classes_and_counts(source, k))
@@ -345,16 +346,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(classes[chosen], shown)), pa.array(np.repeat(n, shown) << 32 | place)], ["h", "cls", "at"])
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    in_list = Window.partitionBy("h")
-    listed = settled(
+    in_list, of_class = Window.partitionBy("h"), Window.partitionBy("cls")
+    placed = settled(
         source.select("text")
         .mapInArrow(post, "h long, cls long, at long")
         .withColumn("hub", F.min("cls").over(in_list))
         .withColumn("_last", F.max("cls").over(in_list))
         .where("hub <> _last")
-        .select("h", "cls", "hub", "at")
+        .select("h", "cls", "at", F.min("hub").over(of_class).alias("label"))
     )
-    labels = listed.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
+    labels = placed.groupBy("cls").agg(F.first("label").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
     sizes = labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members"))
     labels = settled(
         labels.join(sizes, "label")
@@ -371,9 +372,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .select("cls", "label", "block", "pair", F.xxhash64("label", "pair").alias("gkey"))
     )
     # between neighbourhoods: pairs in lists that hold more than one
-    placed = listed.join(labels.select("cls", "label"), "cls").select("h", "cls", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"), "label")
-    mixed = placed.groupBy("h").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("h")
-    spread = settled(placed.join(mixed, "h").distinct())
+    spread = settled(
+        placed.withColumn("_low", F.min("label").over(in_list))
+        .withColumn("_high", F.max("label").over(in_list))
+        .where("_low <> _high")
+        .select("h", "cls", "label", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
+        .distinct()
+    )
     x, y = spread.alias("x"), spread.alias("y")
     shorter = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cls") < F.col("x.cls")))
     most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)

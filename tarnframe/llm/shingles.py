@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .textblocks import Block, mix64, ngram_hashes, windows_inside
 
 #: Cells of the frequency table; fixed, so what is broadcast doesn't grow.
-TABLE_BITS = 22
+TABLE_BITS = 24
 _CHUNKS = 64
 _U64 = np.uint64
 
