@@ -57,7 +57,7 @@ def balanced_shards(documents: DataFrame, n_shards: int = N_SHARDS, id_col: str
     summed = (
         placed.withColumn("_upto", F.sum("size").over(running))
         .withColumn("_number", F.row_number().over(order))
-        .join(F.broadcast(offsets), "_range")
+        .join(offsets, "_range")
         .withColumn("_twice_middle", 2 * (F.col("_bytes_before") + F.col("_upto")) - F.col("size"))
         .withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"(_twice_middle * {n_shards}) div (2 * _total)")).cast("int"))
         .withColumn("_index", F.col("_rows_before") + F.col("_number") - 1)
