@@ -42,12 +42,17 @@ BASE_REPEAT_PERCENT = 50
 
 @dataclass(frozen=True)
 class RepetitionLimits:
-    """Largest shares of word characters, in percent, inside duplicates."""
+    """Largest shares of word characters, in percent, inside duplicates.
+
+    A word in a duplicated longer n-gram also lies in a duplicated base n-gram, so
+    limits near ``BASE_REPEAT_PERCENT`` reject nothing that the base rule doesn't;
+    they are well below it, and fall with the length, so that each acts by itself.
+    """
 
     #: n-gram length in words -> percent of word characters inside n-grams found twice or more
-    ngram_percent: tuple[tuple[int, int], ...] = ((4, 60), (6, 55), (10, 50))
+    ngram_percent: tuple[tuple[int, int], ...] = ((4, 30), (6, 28), (10, 20))
     #: percent of word characters in lines equal to an earlier line
-    line_percent: int = 40
+    line_percent: int = 15
 
 
 _IS_SYMBOL = np.zeros(256, dtype=bool)

@@ -43,6 +43,35 @@ def test_counts_equal_brute_force(frame, awkward):
     assert sorted(map(key, found)) == sorted(map(key, expected))
 
 
+def between_own_words(phrases, n):
+    """The phrases twice each, with words between them that occur once, ``n`` words in all."""
+    twice, own = phrases * 2, (f"own{i:04}" for i in range(n))
+    gap = (n - sum(map(len, twice))) // len(twice)
+    words = [w for p in twice for w in [*p, *(next(own) for _ in range(gap))]]
+    return " ".join(words + [next(own) for _ in range(n - len(words))])
+
+
+def test_each_limit_rejects_what_the_base_rule_passes(frame):
+    def phrase(k, at):
+        return [f"rep{at}{i:03}" for i in range(k)]
+
+    lines = "\n".join(f"repeated line\nown{i:04} words{i:04} of{i:04} this{i:04} line{i:04}" for i in range(12))
+    texts = {
+        "dup_4gram_chars": between_own_words([phrase(4, k) for k in range(3)], 70),
+        "dup_6gram_chars": between_own_words([phrase(6, k) for k in range(2)], 83),
+        "dup_10gram_chars": between_own_words([phrase(10, 0)], 80),
+        "dup_line_chars": lines,
+    }
+    names = list(texts)
+    found = {names[r.doc_id]: r for r in repetition_rules(frame(list(enumerate(texts.values())))).collect()}
+    limits = RepetitionLimits()
+    percents = {f"dup_{k}gram_chars": p for k, p in limits.ngram_percent} | {"dup_line_chars": limits.line_percent}
+    for name, r in found.items():
+        assert not r.base_failed and not r.kept, name
+        assert [k for k, p in percents.items() if 100 * r[k] > p * r.word_chars] == [name]
+    assert keep_unrepetitive(frame(list(enumerate(texts.values())))).collect() == []
+
+
 def test_kept_rows_keep_their_columns(frame, awkward):
     docs = frame(awkward)
     kept = keep_unrepetitive(docs)
