@@ -1,11 +1,15 @@
 """Noisy-channel deobfuscation, and toxicity scores of the restored text.
 
 Channel: a writer puts look-alike signs for letters, separators between letters,
-and repeats letters.  Spans that may be so written (a look-alike beside a letter,
-three equal letters, separated single letters) become a lattice of readings;
-Viterbi search finds the reading of least channel cost plus surprise under a
-trigram model of characters, which is counted over all documents.  Other words
-have one reading, themselves, and aren't searched.
+and repeats letters.  Spans that may be so written become a lattice of readings:
+words with letters and a look-alike, words with separators between letters, runs
+of equal letters, and two or more single letters in a row, each with or without
+separators around it.  Viterbi search finds the reading of least channel cost
+plus surprise under a trigram model of characters, which is counted over all
+documents.  Other words have one reading, themselves, and aren't searched; of
+words with look-alikes these are words that only end in stars (any vowel, or
+nothing).  Letters that aren't ASCII count as one symbol of the model, and
+repetitions of theirs are searched only in words that are searched anyway.
 
 Scores: words and word beginnings of restored texts that are far more frequent in
 toxic rows form a lexicon; a logistic function of a text's hits gives the score.
@@ -45,6 +49,10 @@ MEMO_SPANS = 100_000
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"}
 SEPARATORS = " .-_*'~,"
 LOOK_ALIKE_COST, KEEP_COST, SKIP_COST, BREAK_COST, REPEAT_COST = 1.0, 10.0, 0.2, 2.5, 0.6
+#: Two equal letters are far more often spelling than disguise.
+DOUBLE_COST = 5.0
+#: Look-alikes that are punctuation at the end of a word.
+CLOSING = "!|+"
 
 _SYMBOLS = 32  # 0: no letter, 1-26: a-z, 27: any other letter; the rest is unused
 _OTHER = 27
@@ -63,8 +71,6 @@ _LETTER = _SYMBOL_OF > 0
 _ASCII_LETTER = (_SYMBOL_OF > 0) & (_SYMBOL_OF < _OTHER)
 _LOOKS = np.zeros(256, bool)
 _LOOKS[[ord(c) for c in LOOK_ALIKES if c != "*"]] = True
-_LOOKS_AT_END = np.zeros(256, bool)
-_LOOKS_AT_END[[ord(c) for c in "0134578@$"]] = True
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[ord(c) for c in SEPARATORS if c != " "]] = True
 _EDGE = np.zeros(256, bool)
@@ -101,10 +107,14 @@ class CharacterModel:
         surprise = self.surprise
         # state: the last two symbols; its value: cost, the last letter written, and the path
         states: dict[tuple[int, int], tuple[float, str, tuple | None]] = {(0, 0): (0.0, "", None)}
+        closing = len(span.rstrip(CLOSING + SEPARATORS))
         for at, c in enumerate(span):
-            readings = _readings(c)
-            # a letter may be a repetition in a run of three or more, a sign wherever it can stand for the letter before
-            repeats = c in LOOK_ALIKES or any(span[max(k, 0) : k + 3] == 3 * c for k in (at - 2, at - 1) if k >= 0)
+            readings = _readings(c, at >= closing)
+            # a letter or sign may repeat an equal one before it, at a higher cost if they are two; a sign also another one that it can stand for
+            thrice = any(span[max(k, 0) : k + 3] == 3 * c for k in (at - 2, at - 1) if k >= 0)
+            double = at > 0 and span[at - 1] == c
+            repeats = c in LOOK_ALIKES and not (at >= closing and c in CLOSING) or double and c.isalpha()
+            repeat_cost = DOUBLE_COST if double and not thrice else REPEAT_COST
             following: dict[tuple[int, int], tuple[float, str, tuple | None]] = {}
 
             def offer(state: tuple[int, int], cost: float, last: str, path: tuple | None) -> None:
@@ -121,7 +131,7 @@ class CharacterModel:
                     else:
                         offer((q, symbol), cost + price + surprise[p, q, symbol], sign, (path, sign))
                     if repeats and sign and sign == last:
-                        offer((p, q), cost + REPEAT_COST, last, path)
+                        offer((p, q), cost + repeat_cost, last, path)
             states = following
         ends = ((cost + (surprise[p, q, 0] if q else 0.0), path) for (p, q), (cost, _, path) in states.items())
         path = min(ends, key=lambda x: x[0])[1]
@@ -132,8 +142,8 @@ class CharacterModel:
         return "".join(reversed(out))
 
 
-def _readings(c: str) -> list[tuple[int, str, float]]:
-    """(symbol, sign written, cost) of a character; symbol -1 writes nothing."""
+def _readings(c: str, closing: bool = False) -> list[tuple[int, str, float]]:
+    """(symbol, sign written, cost) of a character; symbol -1 writes nothing.  ``closing``: no letter follows."""
     if "a" <= c <= "z":
         return [(ord(c) - 96, c, 0.0)]
     if c.isalpha():
@@ -142,7 +152,7 @@ def _readings(c: str) -> list[tuple[int, str, float]]:
     if c in SEPARATORS:
         out += [(-1, "", SKIP_COST), (0, c, BREAK_COST)]
     else:
-        out.append((0, c, KEEP_COST if out else 0.0))
+        out.append((0, c, (BREAK_COST if closing and c in CLOSING else KEEP_COST) if out else 0.0))
     return out
 
 
@@ -169,53 +179,88 @@ def count_characters(documents: DataFrame, text_col: str = "text") -> CharacterM
     return CharacterModel.of_counts(total if total is not None else np.zeros(_SYMBOLS**3))
 
 
+def _outermost(at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each span where ``at`` holds; the last is before the first if there is none."""
+    places = np.flatnonzero(at)
+    low, high = np.searchsorted(places, starts), np.searchsorted(places, ends)
+    padded = np.concatenate([places, [0]])
+    some = high > low
+    return np.where(some, padded[low], ends), np.where(some, padded[high - 1], starts - 1)
+
+
+def _sums(flags: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def suspicious_spans(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the spans that may be obfuscated."""
-    data, n = block.data, len(block.data)
-    if not len(block.starts):
-        return block.starts, block.ends
-    pad = np.zeros(4, np.uint8)
-    d = np.concatenate([data, pad])
-    letter, looks = _LETTER[d], _LOOKS[d]
-    inside = np.concatenate([block.in_word, np.zeros(4, bool)])
-    first = np.zeros(n + 4, bool)
-    first[block.starts] = True
-    joined = inside[1:] & ~first[1:]  # position i and i + 1 lie in one word
-    two = joined[: n + 1]
-    low = np.where(_ASCII_LETTER[d], d | 0x20, 0)
-    marks = looks[:n] & letter[1 : n + 1] & two[:n]
-    thrice = (low[:n] > 0) & (low[:n] == low[1 : n + 1]) & (low[:n] == low[2 : n + 2]) & two[:n] & joined[1 : n + 1]
-    apart = _SEPARATES[d]
-    five = two[:n] & joined[1 : n + 1] & joined[2 : n + 2] & np.concatenate([joined[3:], [False]])[:n]
-    dotted = five & letter[:n] & apart[1 : n + 1] & letter[2 : n + 2] & apart[3 : n + 3] & np.concatenate([letter[4:], [False]])[:n]
-    starred = letter[:n] & (d[1 : n + 1] == 0x2A) & letter[2 : n + 2] & two[:n] & joined[1 : n + 1]
-    upto = np.zeros(n + 1, np.int64)
-    np.cumsum(marks | thrice | dotted | starred, out=upto[1:])
-    flagged = upto[block.ends] > upto[block.starts]
-    lengths = block.ends - block.starts
-    last = block.ends - 1
-    flagged |= (lengths > 2) & _LOOKS_AT_END[data[last]] & _LETTER[data[np.maximum(last - 1, 0)]]
-    # four or more single letters in a row, as one span
-    single = (lengths == 1) & (_ASCII_LETTER[data[block.starts]] | _LOOKS[data[block.starts]])
-    change = np.flatnonzero(np.diff(single.astype(np.int8)) | np.diff(block.doc) != 0) + 1
+    """Starts and ends of the spans that look obfuscated; ``doubled_spans`` has the words with two equal letters."""
+    data, starts, ends = block.data, block.starts, block.ends
+    if not len(starts):
+        return starts, ends
+    letter, looks, apart = _LETTER[data], _LOOKS[data], _SEPARATES[data]
+    first, last = _outermost(letter, starts, ends)
+    signs = _sums(looks)
+    flagged = (first <= last) & (signs[ends] > signs[starts])
+    # separators, stars among them, between a word's letters, and stars before them
+    marks = _sums(apart)
+    some, after = np.minimum(first, len(data)), np.maximum(last, 0)
+    flagged |= (first <= last) & (marks[after] > marks[some])
+    flagged |= (first <= last) & (data[np.maximum(first - 1, 0)] == 0x2A) & (first > starts)
+    low = np.where(_ASCII_LETTER[data], data | 0x20, 0)
+    equal = (low[1:] > 0) & (low[1:] == low[:-1])
+    thrice = _sums(np.concatenate([equal[1:] & equal[:-1], np.zeros(2, bool)])[: len(data)])
+    flagged |= (ends - starts > 2) & (thrice[np.maximum(ends - 2, starts)] > thrice[starts])
+    # single letters in a row, with separators around them or not, as one span; without any letter, four signs or more
+    core, core_last = _outermost(~apart, starts, ends)
+    at = np.minimum(core, len(data) - 1)
+    single = (core == core_last) & (_ASCII_LETTER[data[at]] | looks[at])
+    change = np.flatnonzero((np.diff(single.astype(np.int8)) != 0) | (np.diff(block.doc) != 0)) + 1
     runs = np.concatenate([[0], change, [len(single)]])
-    long = (np.diff(runs) >= 4) & single[runs[:-1]]
-    run_starts, run_lasts = runs[:-1][long], runs[1:][long] - 1
-    for a, b in zip(run_starts, run_lasts):
-        flagged[a : b + 1] = False
-    starts = np.concatenate([block.starts[flagged], block.starts[run_starts]])
-    ends = np.concatenate([block.ends[flagged], block.ends[run_lasts]])
+    lettered = _sums(single & _ASCII_LETTER[data[at]])
+    size = np.diff(runs)
+    long = single[runs[:-1]] & ((size >= 4) | (size >= 2) & (lettered[runs[1:]] > lettered[runs[:-1]]))
+    flagged &= ~np.repeat(long, size)
+    run_starts, run_ends = starts[runs[:-1][long]], ends[runs[1:][long] - 1]
+    starts, ends = np.concatenate([starts[flagged], run_starts]), np.concatenate([ends[flagged], run_ends])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order]
+
+
+def doubled_spans(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """From the first letter to the last of each word with two equal letters: mostly plain words, but searched as well."""
+    data = block.data
+    low = np.where(_ASCII_LETTER[data], data | 0x20, 0)
+    equal = np.flatnonzero((low[1:] > 0) & (low[1:] == low[:-1]))
+    word = np.unique(np.searchsorted(block.starts, equal, side="right") - 1)
+    first, last = _outermost(_LETTER[data], block.starts[word], block.ends[word])
+    return first, last + 1
+
+
+def searched_spans(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """All spans that the search sees, in order and apart from each other."""
+    starts, ends = suspicious_spans(block)
+    more, upto = doubled_spans(block)
+    if len(starts):
+        before = np.searchsorted(starts, more, side="right") - 1
+        fresh = (upto <= starts[np.minimum(before + 1, len(starts) - 1)]) | (before + 1 == len(starts))
+        fresh &= (before < 0) | (ends[before] <= more)
+        more, upto = more[fresh], upto[fresh]
+    starts, ends = np.concatenate([starts, more]), np.concatenate([ends, upto])
     order = np.argsort(starts, kind="stable")
     return starts[order], ends[order]
 
 
 def restored_texts(block: Block, model: CharacterModel) -> Texts:
     """The block's texts with their suspicious spans restored."""
-    starts, ends = suspicious_spans(block)
+    starts, ends = searched_spans(block)
     raw = block.data.tobytes()
     pieces, grown, at = [], np.zeros(len(starts), np.int64), 0
     for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        new = model.restore(raw[a:b].decode("utf-8", "replace")).encode()
+        span = raw[a:b].decode("utf-8", "replace")
+        new = model.restore(span)
+        new = raw[a:b] if new == span.lower() else new.encode()
         pieces += [raw[at:a], new]
         grown[i] = len(new) - (b - a)
         at = b

@@ -48,6 +48,24 @@ def test_restores_and_scores(spark, frame):
     assert a.predicted == 1 and b.predicted == 0
 
 
+def test_every_kind_of_disguise_counts(spark, frame):
+    rows = [(i, x.replace("stupid", "kill").replace("moron", "ass"), y) for i, x, y in corpus()]
+    model = model_of(spark, frame, rows)
+    kinds = {
+        "signs at the end": ["ki11", "a$$", "a55"],
+        "a sign before punctuation": ["kil1,", "kil|.", "as5,"],
+        "doubled letters": ["idiiot", "sscum", "iidiioott"],
+        "one separator": ["id.iot", "sc-um", "lo_ser"],
+        "few spaced letters": ["a s s", "a s s", "a s s"],
+        "separators around spaced letters": ["k. i. l. l.", "s. c. u. m.", "i- d- i- o- t"],
+        "plain": ["kill", "ass", "idiot!"],
+    }
+    texts = [" ".join([PROSE, a, "and the", b, "and the", c, "end"]) for a, b, c in kinds.values()]
+    found = {r.doc_id: r for r in t.score(frame([*enumerate(texts), (99, PROSE)]), model).collect()}
+    missed = [kind for i, kind in enumerate(kinds) if found[i].predicted != 1]
+    assert missed == [] and found[99].predicted == 0
+
+
 def test_plain_words_are_left_alone(spark, frame):
     model = model_of(spark, frame, corpus(60))
     for text in (PROSE, "the### and&&& of*** to%%%", "call 555-2355 on 12/03", "letter happened committee"):
