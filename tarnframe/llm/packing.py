@@ -14,7 +14,8 @@ split) groups, and a split's offset is the sum of the groups before it, so one
 bucket with most of the rows is still numbered by many tasks; only the last batch
 of each bucket can be short.
 
-A document's length is its number of words (``[^\\x20\\x09-\\x0D]+``).  Defined
+``pack`` takes a document's number of words (``[^\\x20\\x09-\\x0D]+``) as its length
+and ``n_tokens``; ``pack_tokens`` takes its tokens under a tokenizer.  Defined
 results: null and empty texts have length 0 and share a bucket as any other
 length does; a document longer than the budget is a batch by itself; repeated
 rows are packed each for itself; an empty table gives an empty result; extra
@@ -27,6 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import token_counts
 from .session import settled
 
 N_BUCKETS = 16
@@ -84,8 +86,19 @@ def _first_at_least(value: Column, bounds: list[int]) -> Column:
 
 
 def pack(documents: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, bucket, padded_tokens, padding, batch, slot."""
-    lengths = settled(documents.select(F.col(id_col), n_words(F.col(text_col)).alias("n_tokens")))
+    """One row per document: id, n_tokens, bucket, padded_tokens, padding, batch, slot; words count as tokens."""
+    return pack_lengths(documents.select(F.col(id_col), n_words(F.col(text_col)).alias("n_tokens")), n_buckets, token_budget, id_col)
+
+
+def pack_tokens(documents: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """As ``pack``, with lengths and budget in tokens of the tokenizer file at ``path`` (``token_counts``' own if None)."""
+    counted = token_counts.count_tokens(documents, path, id_col=id_col, text_col=text_col)
+    return pack_lengths(counted.select(F.col(id_col), "n_tokens"), n_buckets, token_budget, id_col)
+
+
+def pack_lengths(lengths: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id") -> DataFrame:
+    """Pack rows (id, n_tokens)."""
+    lengths = settled(lengths)
     histogram = lengths.groupBy(length_class(F.col("n_tokens")).alias("_class")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("rows")).orderBy("_class").toPandas()
     longest, counts = histogram["longest"].to_numpy(np.int64), histogram["rows"].to_numpy(np.int64)
     bounds = [int(x) for x in longest[optimal_boundaries(longest, counts, n_buckets)]] or [0]

@@ -41,7 +41,7 @@ def op6_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents_of(spark, sf_dir))
+    return packing.pack_tokens(documents_of(spark, sf_dir))
 
 
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

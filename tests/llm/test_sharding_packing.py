@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from tarnframe.llm import packing, sharding
+from tarnframe.llm import packing, registry, sharding, token_counts
 
 
 def brute_shards(pairs, n):
@@ -71,6 +71,18 @@ def test_batches(frame, awkward):
         assert (of_bucket.sort_values("batch").n.iloc[:-1] == of_bucket.n.max()).all()
 
 
+def test_query_packs_tokens(spark, frame, tmp_path):
+    texts = {1: "a b c", 2: "", 3: "漢字仮名交じり文" * 300, 4: "Qx9!zz#" * 500, 5: "plain words " * 4000, 6: None}
+    frame(list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["op7_length_buckets"](spark, str(tmp_path)).collect()
+    counted = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(list(texts.items()))).collect()}
+    assert {r.doc_id: r.n_tokens for r in rows} == counted and counted[3] > 100 and counted[4] > 100
+    batches = {}
+    for r in rows:
+        batches.setdefault((r.bucket, r.batch), []).append(r.padded_tokens)
+    assert all(len(b) == 1 or sum(b) <= packing.TOKEN_BUDGET for b in batches.values())
+
+
 def test_wide_classes_still_pack(frame):
     rows = packing.pack(frame([(i, "w " * n) for i, n in enumerate([1, 5, 1500, 1503, 2600, 9000])]), n_buckets=3).toPandas()
     assert (rows.padding >= 0).all() and rows.padding.sum() <= 2600
