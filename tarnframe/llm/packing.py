@@ -1,12 +1,10 @@
 """Length buckets of least padding, and token-budget batches inside each.
 
-The lengths' global histogram (one row per distinct length class, each with its
-count and its sum of lengths) goes to the driver; dynamic programming over it
-finds the bucket boundaries for which padding every document to its bucket's
-longest costs least.  Lengths up to ``EXACT_LENGTHS`` are classes of their own;
-above it classes widen in proportion (``CLASSES_PER_OCTAVE`` to each doubling), so
-the histogram has a few thousand rows at any size of input.  A class's boundary
-is its longest length that occurs.
+The lengths' global histogram (one row per distinct length, with its count) goes
+to the driver; dynamic programming over it finds the bucket boundaries for which
+padding every document to its bucket's longest costs least.  It has few rows at
+any size of input: m distinct lengths take at least m(m-1)/2 tokens.  Costs are
+exact integers, and each bucket more takes one pass over the lengths.
 
 Batches fill a budget of padded tokens: a bucket padded to ``b`` takes
 ``max(1, budget // b)`` documents a batch.  Rows are numbered inside (bucket,
@@ -33,8 +31,6 @@ from .session import settled
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 16_384
-EXACT_LENGTHS = 1024
-CLASSES_PER_OCTAVE = 128
 ROWS_PER_SPLIT = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,32 +39,40 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
 
 
-def length_class(length: Column) -> Column:
-    """The length itself, or above ``EXACT_LENGTHS`` the number of its geometric class."""
-    wide = F.lit(EXACT_LENGTHS) + F.ceil(F.log2(length / EXACT_LENGTHS) * CLASSES_PER_OCTAVE)
-    return F.when(length <= EXACT_LENGTHS, length).otherwise(wide).cast("long")
-
-
 def optimal_boundaries(longest: np.ndarray, counts: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Which classes end a bucket, so that ``sum(count * (bucket's longest - length))`` is least.
+    """Which lengths end a bucket, so that ``sum(count * (bucket's longest - length))`` is least.
 
-    ``longest`` ascends.  Padding inside the classes doesn't depend on the choice,
-    so cost counts each class at its longest length.
+    ``longest`` ascends.  A bucket over i..j costs longest[j] * (rows[j+1] - rows[i])
+    less a constant: for each i a line in longest[j], with slopes that fall as i
+    rises, so the least of them moves along their lower hull.
     """
     m = len(longest)
     if m == 0:
         return np.zeros(0, dtype=np.int64)
     n_buckets = min(n_buckets, m)
-    rows = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    # cost of a bucket over classes i..j is longest[j] * (rows[j+1] - rows[i]) less a constant
-    best = longest * rows[1:]
+    x = [int(v) for v in longest]
+    rows = [0]
+    for c in counts:
+        rows.append(rows[-1] + int(c))
+    best = [x[j] * rows[j + 1] for j in range(m)]
     choice = np.zeros((n_buckets, m), dtype=np.int64)
     for k in range(1, n_buckets):
-        now = np.full(m, np.inf)
+        now: list = [None] * m
+        hull: list[tuple[int, int, int]] = []  # (slope, height, first length of the bucket)
+        at = 0
         for j in range(k, m):
-            costs = best[k - 1 : j] + longest[j] * (rows[j + 1] - rows[k : j + 1])
-            at = int(np.argmin(costs))
-            now[j], choice[k, j] = costs[at], k + at
+            slope, height = -rows[j], best[j - 1]
+            while len(hull) > 1:
+                (s1, h1, _), (s2, h2, _) = hull[-2], hull[-1]
+                if (height - h1) * (s1 - s2) > (h2 - h1) * (s1 - slope):
+                    break
+                hull.pop()
+            hull.append((slope, height, j))
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][0] * x[j] + hull[at + 1][1] <= hull[at][0] * x[j] + hull[at][1]:
+                at += 1
+            slope, height, choice[k, j] = hull[at]
+            now[j] = x[j] * rows[j + 1] + slope * x[j] + height
         best = now
     ends, j = [], m - 1
     for k in range(n_buckets - 1, -1, -1):
@@ -99,7 +103,7 @@ def pack_tokens(documents: DataFrame, n_buckets: int = N_BUCKETS, token_budget:
 def pack_lengths(lengths: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id") -> DataFrame:
     """Pack rows (id, n_tokens)."""
     lengths = settled(lengths)
-    histogram = lengths.groupBy(length_class(F.col("n_tokens")).alias("_class")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("rows")).orderBy("_class").toPandas()
+    histogram = lengths.groupBy(F.col("n_tokens").alias("longest")).agg(F.count(F.lit(1)).alias("rows")).orderBy("longest").toPandas()
     longest, counts = histogram["longest"].to_numpy(np.int64), histogram["rows"].to_numpy(np.int64)
     bounds = [int(x) for x in longest[optimal_boundaries(longest, counts, n_buckets)]] or [0]
     n_splits = max(1, -(-int(counts.sum()) // ROWS_PER_SPLIT))

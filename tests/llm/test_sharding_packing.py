@@ -83,6 +83,12 @@ def test_query_packs_tokens(spark, frame, tmp_path):
     assert all(len(b) == 1 or sum(b) <= packing.TOKEN_BUDGET for b in batches.values())
 
 
+def test_long_lengths_are_padded_least(frame):
+    # 9001 and 9002 were one class, and no boundary could part them
+    rows = packing.pack(frame([(i, "w " * n) for i, n in enumerate([9001] * 5 + [9002])]), n_buckets=2).toPandas()
+    assert rows.padding.sum() == 0 and rows.bucket.nunique() == 2
+
+
 def test_wide_classes_still_pack(frame):
     rows = packing.pack(frame([(i, "w " * n) for i, n in enumerate([1, 5, 1500, 1503, 2600, 9000])]), n_buckets=3).toPandas()
     assert (rows.padding >= 0).all() and rows.padding.sum() <= 2600
