@@ -2,7 +2,8 @@
 
 N-grams of several lengths are found by rolling hashes in numpy, a block of
 documents at a time; the characters of every word inside a duplicated n-gram
-count once per length.  Rows never leave their partition: no shuffle.
+count once per length.  Words, n-grams and lines are told apart by 64-bit hashes
+of all their bytes.  Rows never leave their partition: no shuffle.
 
 Defined results: a null or empty text, or one without words, has zeros
 everywhere and fails the base rule (fewer than 50 words); repeated rows each get
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .session import map_arrow
 from .textblocks import (
-    BYTE_VALUES,
     Block,
     blocks_of,
     covered,
@@ -69,8 +69,7 @@ def _duplicate_ngrams(block: Block, words: np.ndarray, n: int) -> np.ndarray:
 def measure_block(block: Block, limits: RepetitionLimits) -> dict[str, np.ndarray]:
     """All counts of a block's documents, as arrays."""
     n = block.n_docs
-    sums = block.prefix_hash(BYTE_VALUES)
-    words = block.span_hashes(sums, block.starts, block.ends)
+    words = block.word_hashes()
     is_char = (block.data & 0xC0) != 0x80
     char_at = np.zeros(len(block.data) + 1, dtype=np.int64)
     np.cumsum(block.in_word & is_char, out=char_at[1:])
@@ -80,7 +79,7 @@ def measure_block(block: Block, limits: RepetitionLimits) -> dict[str, np.ndarra
         return np.bincount(doc, weights=weights, minlength=n).astype(np.int64)
 
     lines = lines_of(block)
-    line_keys = keyed_by_doc(block.span_hashes(sums, lines.starts, lines.ends), lines.doc)
+    line_keys = keyed_by_doc(block.span_hashes(lines.starts, lines.ends), lines.doc)
     again = seen_before(line_keys)
     line_chars = char_at[lines.ends] - char_at[lines.starts]
     out = {

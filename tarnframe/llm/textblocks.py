@@ -21,7 +21,6 @@ _MIX_A = _U64(0xBF58476D1CE4E5B9)
 _MIX_B = _U64(0x94D049BB133111EB)
 _GOLDEN = _U64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -33,30 +32,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-#: One random value per byte; the lower-casing table maps A-Z to the values of a-z.
-BYTE_VALUES = mix64(np.arange(1, 257, dtype=_U64) * _GOLDEN)
-LOWER_VALUES = BYTE_VALUES.copy()
-LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+#: Maps the bytes of A-Z to those of a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+#: Masks for the first 0 to 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U64)
 
 #: Word separators: space and the five controls from tab to carriage return.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers = {"up": np.ones(1, dtype=_U64), "down": np.ones(1, dtype=_U64)}
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII letters in lower case."""
+    return _LOWER[data]
 
 
-def _power_table(kind: str, n: int) -> np.ndarray:
-    table = _powers[kind]
-    if len(table) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        base = _U64(_BASE if kind == "up" else _BASE_INVERSE)
-        table = np.empty(size, dtype=_U64)
-        table[0] = 1
-        table[1:] = base
-        np.multiply.accumulate(table, out=table)
-        if size <= 4 * BLOCK_BYTES:
-            _powers[kind] = table
-    return table[:n]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, the same wherever the span stands.
+
+    Eight bytes at a time are mixed together with their place in the span, and the
+    results are added up; spans of at most eight bytes have different hashes for certain
+    if they are equally long.
+    """
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    words = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+    lengths = ends - starts
+    total = mix64(words[starts] & _FIRST_BYTES[np.minimum(lengths, 8)])
+    longer = np.flatnonzero(lengths > 8)
+    if len(longer):
+        rest = (lengths[longer] - 1) >> 3
+        firsts = np.cumsum(rest) - rest
+        place = np.arange(int(rest.sum())) - np.repeat(firsts, rest) + 1
+        at = np.repeat(starts[longer], rest) + 8 * place
+        more = words[at] & _FIRST_BYTES[np.minimum(np.repeat(ends[longer], rest) - at, 8)]
+        total[longer] += np.add.reduceat(mix64(more ^ mix64(place.astype(_U64) * _GOLDEN)), firsts)
+    return mix64(total ^ lengths.astype(_U64) * _GOLDEN)
 
 
 @dataclass
@@ -126,23 +139,11 @@ class Block:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs).astype(np.int64)
 
-    def prefix_hash(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of the polynomial hash; any span's hash follows from two of them."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=_U64)
-        weighted = values[self.data]
-        weighted *= _power_table("up", n)
-        np.cumsum(weighted, out=sums[1:])
-        return sums
-
-    def span_hashes(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte span, the same wherever the span stands."""
-        raw = (sums[ends] - sums[starts]) * _power_table("down", len(self.data) + 1)[starts]
-        return mix64(raw ^ (ends - starts).astype(_U64) * _GOLDEN)
-
-    def word_hashes(self, lower: bool) -> np.ndarray:
-        sums = self.prefix_hash(LOWER_VALUES if lower else BYTE_VALUES)
-        return self.span_hashes(sums, self.starts, self.ends)
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return span_hashes(self.data, starts, ends)
+
+    def word_hashes(self, lower: bool = False) -> np.ndarray:
+        return span_hashes(lowered(self.data) if lower else self.data, self.starts, self.ends)
 
 
 def block_of(texts: Texts, first: int, last: int) -> Block:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, labelled_sample
 from .session import bound_batches, map_arrow, settled
 from .shingles import shingle_hashes, summed_table, tables_of
-from .textblocks import LOWER_VALUES, Block, Texts, block_of, block_ranges, keyed_by_doc, mix64, texts_of
+from .textblocks import Block, Texts, block_of, block_ranges, keyed_by_doc, lowered, mix64, span_hashes, texts_of
 
 MAX_ROWS = 20_000
 FEATURE_BITS = 20
@@ -277,10 +277,10 @@ def word_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(4):
         ends -= (ends - starts > 1) & _EDGE[data[ends - 1]]
         starts += (ends - starts > 1) & _EDGE[data[starts]]
-    sums = block.prefix_hash(LOWER_VALUES)
-    columns = [block.span_hashes(sums, starts, ends)]
+    data = lowered(data)
+    columns = [span_hashes(data, starts, ends)]
     for k in BEGINNINGS:
-        hashes = mix64(block.span_hashes(sums, starts, np.minimum(starts + k, ends)) + _U64(k))
+        hashes = mix64(span_hashes(data, starts, np.minimum(starts + k, ends)) + _U64(k))
         columns.append(np.where(ends - starts > k, hashes, columns[0]))
     return block.doc, np.column_stack(columns)
 
