@@ -1,4 +1,4 @@
-"""Byte-pair merging of single pre-tokens, and the splitting of texts into pre-tokens."""
+"""Byte-pair merging of pre-tokens, one or many at a time, and the splitting of texts into pre-tokens."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import base64
 import heapq
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import regex
 
 #: The characters with the White_Space property.
@@ -19,6 +20,9 @@ UNIT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{W
 
 _SHORT = 64
 _NONE = 1 << 62
+_U64 = np.uint64
+_EMPTY = _U64((1 << 64) - 1)
+_NO_RANK = (1 << 31) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,6 +36,47 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
+class PairTable:
+    """Pairs of ids and their ranks in an open hash table whose lookups are numpy passes."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        pairs = np.fromiter(ranks.keys(), _U64, len(ranks))
+        values = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.shift = _U64(64 - max(10, int(len(ranks)).bit_length() + 3))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values = np.full(size, _EMPTY), np.full(size, _NO_RANK, np.int64)
+        self.mask, self.probes = size - 1, 1
+        at, left = self._slots(pairs), np.arange(len(pairs))
+        while len(left):
+            places, firsts = np.unique(at[left], return_index=True)
+            free = self.keys[places] == _EMPTY
+            placed = left[firsts[free]]
+            self.keys[at[placed]], self.values[at[placed]] = pairs[placed], values[placed]
+            left = np.setdiff1d(left, placed, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+            self.probes += 1
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs * _U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; ``_NO_RANK`` if it has none."""
+        pairs = a.astype(_U64) << _U64(20) | b.astype(_U64)
+        at = self._slots(pairs)
+        held = self.keys[at]
+        out = np.where(held == pairs, self.values[at], _NO_RANK)
+        open_ = np.flatnonzero((held != pairs) & (held != _EMPTY))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & self.mask
+            held = self.keys[at[open_]]
+            same = held == pairs[open_]
+            out[open_[same]] = self.values[at[open_[same]]]
+            open_ = open_[~same & (held != _EMPTY)]
+        return out
+
+
 @dataclass
 class Merger:
     """Byte-level BPE over token ids.
@@ -43,6 +88,79 @@ class Merger:
     ranks: dict[int, int]
     byte_ids: list[int]
     joined: list[int] | None = None
+    _table: PairTable | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> tuple:
+        return self.ranks, self.byte_ids, self.joined
+
+    def __setstate__(self, state: tuple) -> None:
+        self.ranks, self.byte_ids, self.joined = state
+        self._table = None
+
+    def many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids end to end, and how many each has; as ``ids`` gives them one by one.
+
+        Each round merges one pair of every piece that still has one with a rank.
+        """
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        parts = [np.zeros(0, np.int64)]
+        counts = np.zeros(len(pieces), np.int64)
+        of_part: list[np.ndarray] = [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(lengths > _SHORT).tolist():
+            found = self.ids(pieces[i])
+            parts.append(np.array(found, np.int64))
+            of_part.append(np.full(len(found), i))
+        short = np.flatnonzero((lengths > 0) & (lengths <= _SHORT))
+        data = b"".join([pieces[i] for i in short.tolist()] if len(short) < len(pieces) else pieces)
+        ids, of = self._rounds(np.frombuffer(data, np.uint8), lengths[short])
+        parts.append(ids)
+        of_part.append(short[of])
+        flat, owner = np.concatenate(parts), np.concatenate(of_part)
+        counts += np.bincount(owner, minlength=len(pieces))
+        if len(parts) > 2:
+            flat = flat[np.argsort(owner, kind="stable")]
+        return flat, counts
+
+    def _rounds(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge short pieces, given end to end: their ids, in order, and the piece of each."""
+        if self._table is None:
+            self._table = PairTable(self.ranks)
+            self._joined = np.array(self.joined, np.int64) if self.joined is not None else None
+        table, joined = self._table, self._joined
+        ids = np.array(self.byte_ids, np.int64)[data]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        ranks = np.full(len(ids), _NO_RANK, np.int64)
+        if len(ids) > 1:
+            inner = np.flatnonzero(owner[1:] == owner[:-1])
+            ranks[inner] = table.ranks(ids[inner], ids[inner + 1])
+        done_ids, done_owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(ids):
+            firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            least = np.minimum.reduceat(ranks << 32 | np.arange(len(ids)), firsts)
+            rank, at = least >> 32, least & 0xFFFFFFFF
+            active = rank < _NO_RANK
+            if not active.all():
+                of = np.repeat(active, np.diff(firsts, append=len(ids)))
+                done_ids.append(ids[~of])
+                done_owner.append(owner[~of])
+                shifted = np.cumsum(of) - 1
+                ids, owner, ranks = ids[of], owner[of], ranks[of]
+                at, rank = shifted[at[active]], rank[active]
+                if not len(ids):
+                    break
+            ids[at] = joined[rank] if joined is not None else rank
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # one symbol goes from each piece before this one
+            ids, owner, ranks = ids[keep], owner[keep], ranks[keep]
+            right = at[(at + 1 < len(ids)) & (owner[np.minimum(at + 1, len(ids) - 1)] == owner[at])]
+            ranks[at] = _NO_RANK
+            left = at[(at > 0) & (owner[at - 1] == owner[at])] - 1
+            changed = np.concatenate([left, right])
+            ranks[changed] = table.ranks(ids[changed], ids[changed + 1])
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
 
     def ids(self, piece: bytes) -> list[int]:
         """Merge the neighbours of the lowest rank, leftmost first, until none has a rank.
