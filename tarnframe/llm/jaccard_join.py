@@ -10,15 +10,16 @@
    neighbourhood the smallest hub of its lists.  Near copies nearly always meet in
    one neighbourhood, so their links are found there and no list is expanded into
    its pairs.  Pairs in a list that lie in different neighbourhoods are formed one
-   by one, past the length and positional filters.
-4. Each neighbourhood, and each two that such pairs join, is a group.  First only
-   its sets' sizes and counts by hash range meet: those bound every overlap (the
+   by one, past the length and positional filters.  Lists of frequent shingles are
+   cut into parts, whose hubs meet afterwards, so no list lies in one task.
+4. A neighbourhood with more shingles than ``GROUP_SHINGLES`` or more sets than
+   ``GROUP_MEMBERS`` is cut into blocks.  Each block, each two blocks of a
+   neighbourhood, and each two blocks of two neighbourhoods that such pairs join,
+   is a group; every pair of sets can meet in one group only.  First only the sets'
+   sizes and counts by hash range meet in a group: those bound every overlap (the
    suffix filter), and sets without a partner within the bounds drop out.  The
-   sets that remain are sent once to one task for each group, and joined there by
-   prefix index, length, suffix and exact verification, once per pair.  A
-   neighbourhood with more shingles than ``GROUP_SHINGLES`` or more sets than
-   ``GROUP_MEMBERS`` is cut into blocks, and each two blocks meet in a task of
-   their own.
+   sets that remain are sent once to each of their groups, and joined there by
+   prefix index, length, suffix and exact verification, once per pair.
 5. Components of the links are contracted by alternating stars.
 
 Sets are compared through 64-bit hashes of shingles and classes through a 64-bit
@@ -26,9 +27,10 @@ fingerprint of the set.
 
 Defined results: null, empty and wordless texts have no shingles, link with
 nothing and are their own component; fewer than five words are one shingle;
-repeated rows are exact copies; texts are read whole; an empty table gives an
-empty result; extra columns are ignored.  Ids are integers; a row with a null id
-gets a component only from others that have one.
+repeated rows and ids are documents each, rows with equal texts exact copies of
+each other; very long texts are read whole; pairs that just tie with the threshold
+link; an empty table gives an empty result; extra columns are ignored.  Ids are
+integers; a row with a null id gets a component only from others that have one.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import bound_batches, settled
+from .session import bound_batches, settled, unused_names
 from .shingles import TABLE_BITS, cells, log_scale, ranked_sets, shingle_hashes, summed_table, table_parts, tables_of
 from .textblocks import blocks_of, mix64, texts_of
 
@@ -51,6 +53,10 @@ THRESHOLD = 75
 GROUP_SHINGLES = 2_000_000
 #: Sets of a neighbourhood that one task compares at a time.
 GROUP_MEMBERS = 4096
+#: Posts of a frequent shingle that one task handles at a time.
+LIST_ROWS = 256
+#: A character of a word.
+_WORD = r"[^\x20\x09-\x0D]"
 _RANGES = 64
 _FILTER_BITS = 23
 _U64 = np.uint64
@@ -111,8 +117,19 @@ class Fresh:
         return np.array(out, dtype=np.int64)
 
 
+def list_parts(rarity: np.ndarray) -> np.ndarray:
+    """For each byte of the frequency table, the parts that a list of such a shingle is cut into.
+
+    A part holds about ``LIST_ROWS`` posts, or eight times the mean of all cells if
+    that is more: beyond, a cell's count says little about a single shingle.
+    """
+    counts = 2 ** (np.arange(256) / 8) - 1
+    mean = float(np.bincount(rarity, minlength=256) @ counts) / max(1, len(rarity))
+    return np.maximum(1, np.ceil(counts / max(LIST_ROWS, 8 * mean))).astype(np.int32)
+
+
 def classes_and_counts(source: DataFrame, k: int) -> DataFrame:
-    """Rows (id, n, cls, spread) of all documents, and among them each partition's shingle counts as (chunk, part).
+    """Rows (id, mark, n, cls, spread) of all documents (id, text, mark), and among them each partition's shingle counts as (chunk, part).
 
     ``spread`` counts a set's hashes by 256 ranges, a byte each; 255 means that or more.
     """
@@ -133,15 +150,15 @@ def classes_and_counts(source: DataFrame, k: int) -> DataFrame:
             cell, times = np.unique(np.concatenate(hit), return_counts=True)
             table[cell] = np.minimum(table[cell] + times, 0xFFFF)
             n, cls, none = np.concatenate(n), np.concatenate(cls), batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(spread, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], _ROW_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(cls), pa.array(spread, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], _ROW_NAMES)
         chunks, packed = table_parts(table)
         none = pa.nulls(len(chunks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], _ROW_NAMES)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(chunks), pa.binary()), pa.array(chunks, pa.int32()), pa.array(packed, pa.binary())], _ROW_NAMES)
 
-    return source.mapInArrow(run, "id long, n long, cls long, spread binary, chunk int, part binary")
+    return source.mapInArrow(run, "id long, mark long, n long, cls long, spread binary, chunk int, part binary")
 
 
-_ROW_NAMES = ["id", "n", "cls", "spread", "chunk", "part"]
+_ROW_NAMES = ["id", "mark", "n", "cls", "spread", "chunk", "part"]
 _SPREAD = 256
 
 
@@ -161,8 +178,12 @@ class Members:
         self.member = member
 
 
-def join_members(m: Members, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of members (as places in length order, longer first) with Jaccard t percent or more."""
+def join_members(m: Members, t: int, group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members (as places in length order, longer first) with Jaccard t percent or more.
+
+    Only members of one group and of different sides meet; those of side -1 meet all of their group.
+    """
+    group, side = group[m.order], side[m.order]
     place = np.arange(len(m.flat)) - m.edges[m.member]
     posted = place < index_length(m.n, t)[m.member]
     shingle, owner = m.flat[posted], m.member[posted]
@@ -176,7 +197,7 @@ def join_members(m: Members, t: int) -> tuple[np.ndarray, np.ndarray]:
         shown = mine[: probe[i]]
         found, _ = _pieces(owner, lists[shown], lists[shown + 1] - lists[shown])
         found = np.unique(found[found < i])
-        found = found[100 * m.n[found] >= t * n]
+        found = found[(100 * m.n[found] >= t * n) & (group[found] == group[i]) & ((side[found] != side[i]) | (side[i] < 0))]
         if not len(found):
             continue
         need = least_overlap(n, m.n[found], t)
@@ -210,15 +231,17 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = now
 
 
-def _may_link(n: np.ndarray, spread: np.ndarray, t: int) -> np.ndarray:
-    """Which sets of a group pass the length and suffix filters with another one."""
+def _may_link(n: np.ndarray, spread: np.ndarray, side: np.ndarray, t: int) -> np.ndarray:
+    """Which sets of a group pass the length and suffix filters with another one, of another side (or any, if it is -1)."""
     order = np.argsort(n, kind="stable")
-    n, spread = n[order], spread[order]
+    n, spread, side = n[order], spread[order], side[order]
     unbounded = (spread == 255).any(axis=1)
     passed = np.zeros(len(n), bool)
     least = np.searchsorted(100 * n, t * n)
     for i in range(len(n)):
         j = np.arange(least[i], i)
+        if side[i] >= 0:
+            j = j[side[j] != side[i]]
         if len(j):
             most = np.minimum(spread[j], spread[i]).sum(axis=1, dtype=np.int64)
             near = j[(most >= least_overlap(n[i], n[j], t)) | (unbounded[i] & unbounded[j])]
@@ -253,7 +276,7 @@ def _filter_groups(t: int):
         for rows in _whole_groups(batches):
             table = pa.Table.from_batches(rows).combine_chunks()
             spread = np.frombuffer(b"".join(table.column("spread").to_pylist()), np.uint8).reshape(-1, _SPREAD)
-            passed = _may_link(table.column("n").to_numpy(), spread, t)
+            passed = _may_link(table.column("n").to_numpy(), spread, table.column("side").to_numpy(), t)
             if passed.any():
                 yield from table.filter(pa.array(passed)).drop_columns(["n", "spread"]).combine_chunks().to_batches()
 
@@ -263,20 +286,16 @@ def _filter_groups(t: int):
 def _verify(rows: list[pa.RecordBatch], t: int) -> pa.RecordBatch:
     """Links among the sets of whole groups: (class, root, links) for each linked class."""
     table = pa.Table.from_batches(rows).combine_chunks()
-    group, label, block_pair, block, classes, n, size = (table.column(c).to_numpy() for c in ("gkey", "label", "pair", "block", "cls", "n", "size"))
+    group, side, classes, n, size = (table.column(c).to_numpy() for c in ("gkey", "side", "cls", "n", "size"))
     sets = np.frombuffer(b"".join(table.column("shingles").to_pylist()), _U64)
     members = Members(classes, sets, n.astype(np.int64))
-    left, right = join_members(members, t)
+    left, right = join_members(members, t, group, side)
     left, right = members.order[left], members.order[right]
     root_row = local_roots(len(n), left, right)
     least = classes.copy()
     np.minimum.at(least, root_row, classes)
     roots = least[root_row]
-    # a pair counts in one group only: its neighbourhood's task for the pair's blocks, or the two neighbourhoods' task
-    low, high = np.minimum(block[left], block[right]), np.maximum(block[left], block[right])
-    same = label[left] == label[right]
-    counted = (group[left] == group[right]) & np.where(same, block_pair[left] == (low << 32 | high), block_pair[left] < 0)
-    links = np.bincount(left[counted], size[right[counted]], len(n)) + np.bincount(right[counted], size[left[counted]], len(n))
+    links = np.bincount(left, size[right], len(n)) + np.bincount(right, size[left], len(n))
     linked = np.zeros(len(n), bool)
     linked[left] = linked[right] = True
     return pa.RecordBatch.from_arrays([pa.array(classes[linked]), pa.array(roots[linked]), pa.array(links[linked].astype(np.int64))], ["cls", "root", "links"])
@@ -321,19 +340,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = seen
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links), n_links."""
-    t = threshold
-    bound_batches(documents.sparkSession)
-    spark = documents.sparkSession
-    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _in_lists(posts: DataFrame, value: str) -> DataFrame:
+    """Posts with the least and largest ``value`` of their list, as ``_least`` and ``_most``.
+
+    A list that may be long lies in several parts, each a group of its own; the
+    parts' results are few, and only they meet.
+    """
+    part = Window.partitionBy("h", "part")
+    posts = posts.withColumn("_least", F.min(value).over(part)).withColumn("_most", F.max(value).over(part))
+    return settled(posts.where("parts > 1 OR _least <> _most"))
+
+
+def _over_parts(posts: DataFrame) -> DataFrame:
+    """Posts of ``_in_lists`` with the results of their lists' parts put together; lists with one value only are left out."""
+    whole = (
+        posts.where("parts > 1")
+        .groupBy("h")
+        .agg(F.min("_least").alias("least"), F.max("_most").alias("most"), F.max("parts").alias("_n"))
+        .where("least <> most")
+        .select("h", "least", "most", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("part"))
+    )
+    long = posts.where("parts > 1").drop("_least", "_most").join(whole, ["h", "part"])
+    short = posts.where("parts = 1").withColumnsRenamed({"_least": "least", "_most": "most"})
+    return short.unionByName(long)
+
+
+def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, mark, n, cls) of all documents, and (cls, root, component_id, n_links) of all classes, for ``source`` (id, text, mark)."""
+    spark = source.sparkSession
+    bound_batches(spark)
     read = settled(classes_and_counts(source, k))
-    rows = read.where("chunk IS NULL").select("id", "n", "cls")
+    rows = read.where("chunk IS NULL").select("id", "mark", "n", "cls")
     table = summed_table(read.where("chunk IS NOT NULL").select("chunk", "part"), log_scale)
-    rarity = spark.sparkContext.broadcast(table if table is not None else np.zeros(1 << TABLE_BITS, np.uint8))
+    table = table if table is not None else np.zeros(1 << TABLE_BITS, np.uint8)
+    rarity, parts_of = spark.sparkContext.broadcast(table), list_parts(table)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (h, cls, n and place) for each shingle in the prefix of each set."""
+        """A row (h, part, parts, cls, n and place) for each shingle in the prefix of each set."""
         fresh = Fresh()
         for batch in batches:
             for _, _, sets, edges, classes in _block_sets(texts_of(batch.column(0)), k, rarity.value):
@@ -343,61 +386,61 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 shown = probe_length(n, t)
                 h, to = _pieces(sets, edges[:-1][chosen], shown)
                 place = np.arange(len(h)) - np.repeat(to[:-1], shown)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(classes[chosen], shown)), pa.array(np.repeat(n, shown) << 32 | place)], ["h", "cls", "at"])
+                cls = np.repeat(classes[chosen], shown)
+                parts = parts_of[rarity.value[cells(h)]]
+                part = (mix64(cls.view(_U64)) % parts.astype(_U64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(parts), pa.array(cls), pa.array(np.repeat(n, shown) << 32 | place)], ["h", "part", "parts", "cls", "at"])
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    in_list, of_class = Window.partitionBy("h"), Window.partitionBy("cls")
-    placed = settled(
-        source.select("text")
-        .mapInArrow(post, "h long, cls long, at long")
-        .withColumn("hub", F.min("cls").over(in_list))
-        .withColumn("_last", F.max("cls").over(in_list))
-        .where("hub <> _last")
-        .select("h", "cls", "at", F.min("hub").over(of_class).alias("label"))
-    )
-    labels = placed.groupBy("cls").agg(F.first("label").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
+    posts = source.select("text").mapInArrow(post, "h long, part int, parts int, cls long, at long")
+    # a class posted by several tasks stands in a list more than once, which changes nothing
+    shared = _over_parts(_in_lists(posts, "cls")).select("h", "part", "parts", "cls", "at", F.col("least").alias("hub"))
+    labels = shared.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
     sizes = labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members"))
     labels = settled(
         labels.join(sizes, "label")
         .withColumn("blocks", F.greatest(F.ceil(F.col("_total") / GROUP_SHINGLES), F.ceil(F.col("_members") / GROUP_MEMBERS)).cast("long"))
         .select("cls", "label", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), "_members")
     )
-    # inside neighbourhoods: each block meets each block (itself included)
+    # inside neighbourhoods: each block meets itself (side -1) and each other one (sides 0 and 1)
     first_of = F.least("block", F.col("_other"))
     second_of = F.greatest("block", F.col("_other"))
     inside = (
         labels.where("_members > 1")
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("cls", "label", "block", (F.shiftleft(first_of, 32).bitwiseOR(second_of)).alias("pair"))
-        .select("cls", "label", "block", "pair", F.xxhash64("label", "pair").alias("gkey"))
+        .withColumn("side", F.when(F.col("block") == F.col("_other"), -1).when(F.col("block") < F.col("_other"), 0).otherwise(1))
+        .select("cls", "side", F.xxhash64("label", first_of, second_of).alias("gkey"))
     )
     # between neighbourhoods: pairs in lists that hold more than one
+    labelled = shared.drop("hub").join(labels.select("cls", "label", "block"), "cls")
     spread = settled(
-        placed.withColumn("_low", F.min("label").over(in_list))
-        .withColumn("_high", F.max("label").over(in_list))
-        .where("_low <> _high")
-        .select("h", "cls", "label", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
+        _over_parts(_in_lists(labelled, "label"))
+        .select("h", "cls", "label", "block", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
         .distinct()
     )
     x, y = spread.alias("x"), spread.alias("y")
     shorter = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cls") < F.col("x.cls")))
     most = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
     y_index = F.expr(f"y.n - cast(ceil({2 * t} * y.n / {100 + t}.0D) as int) + 1")
+    # a group is two blocks of two neighbourhoods; the side says which of the two
+    first = F.col("xl") < F.col("yl")
+    low_block, high_block = F.when(first, F.col("xb")).otherwise(F.col("yb")), F.when(first, F.col("yb")).otherwise(F.col("xb"))
     pairs = (
         x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & shorter & (100 * F.col("y.n") >= t * F.col("x.n")) & (F.col("y.pos") <= y_index) & ((100 + t) * most >= t * (F.col("x.n") + F.col("y.n"))))
-        .select(F.col("x.cls").alias("xc"), F.col("x.label").alias("xl"), F.col("y.cls").alias("yc"), F.col("y.label").alias("yl"))
-        .withColumn("gkey", F.xxhash64(F.least("xl", "yl"), F.greatest("xl", "yl"), F.lit("between")))
+        .select(*(F.col(f"{a}.{b}").alias(a + b[0]) for a in "xy" for b in ("cls", "label", "block")))
+        .withColumn("gkey", F.xxhash64(F.least("xl", "yl"), low_block, F.greatest("xl", "yl"), high_block, F.lit("between")))
+        .withColumn("x_side", F.when(first, 0).otherwise(1))
     )
-    ends = F.array(F.struct(F.col("xc").alias("cls"), F.col("xl").alias("label")), F.struct(F.col("yc").alias("cls"), F.col("yl").alias("label")))
+    ends = F.array(F.struct(F.col("xc").alias("cls"), F.col("x_side").alias("side")), F.struct(F.col("yc").alias("cls"), (1 - F.col("x_side")).alias("side")))
     between = pairs.select("gkey", F.inline(ends)).distinct()
-    met = inside.unionByName(between.select("cls", "label", F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("pair"), "gkey"))
+    met = inside.unionByName(between.select("cls", "side", "gkey"))
     spreads = read.where("n > 0").select("cls", "n", "spread").join(labels, "cls", "left_semi").dropDuplicates(["cls"])
     groups = settled(
         met.join(spreads, "cls")
-        .select("gkey", "label", "pair", "block", "cls", "n", "spread")
+        .select("gkey", "side", "cls", "n", "spread")
         .repartition("gkey")
         .sortWithinPartitions("gkey")
-        .mapInArrow(_filter_groups(t), "gkey long, label long, pair long, block long, cls long")
+        .mapInArrow(_filter_groups(t), "gkey long, side int, cls long")
     )
 
     def flags(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -424,30 +467,49 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = (
         groups.join(classes.select("cls", "size"), "cls")
         .join(sets, "cls")
-        .select("gkey", "label", "pair", "block", "cls", "n", "size", "shingles")
+        .select("gkey", "side", "cls", "n", "size", "shingles")
         .repartition("gkey")
         .sortWithinPartitions("gkey")
     )
     links = settled(grouped.mapInArrow(_verify_groups(t, GROUP_SHINGLES), "cls long, root long, links long"))
     roots = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     degrees = links.groupBy("cls").agg(F.sum("links").alias("_links"))
-    placed_classes = (
+    placed = (
         classes.join(roots, F.col("cls") == F.col("node"), "left")
         .select("cls", "rep", "size", F.coalesce("root", "cls").alias("root"))
         .join(degrees, "cls", "left")
     )
-    smallest = placed_classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = placed_classes.join(smallest, "root").select("cls", "component_id", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows, placed.join(smallest, "root").select("cls", "root", "component_id", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+
+
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links), n_links."""
+    source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("mark"))
+    rows, of_class = _joined(source, k, threshold)
     filled = rows.where("n > 0").select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component_id", "n_links")
     bare = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return filled.unionByName(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
-def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; rows without an id stay."""
-    found = near_duplicates(documents.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = found.where(F.col(id_col).cast("long") == F.col("component_id")).select("component_id").distinct()
-    kept = documents.join(first, documents[id_col].cast("long") == first["component_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(documents.where(F.col(id_col).isNull()))
-
+def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each component, with all its columns: that of the smallest id.
 
+    Rows are told apart by their id and a fingerprint of all their columns, so ids may
+    repeat: of a component's rows with its smallest id the one with the smallest
+    fingerprint stays (rows equal in all columns are one), and rows of other components
+    with that id are judged apart.  Rows without an id come after all others.  Texts
+    without words link with nothing; all their rows stay.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    mark = F.xxhash64(*hashed)
+    worded = F.coalesce(F.col(text_col).rlike(_WORD), F.lit(False))
+    source = documents.where(worded).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    rows, of_class = _joined(source, k, threshold)
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
+    chosen = rows.join(of_class.select("cls", "root"), "cls").groupBy("root").agg(F.min(row).alias("row"))
+    id_key, mark_key = unused_names(documents.columns, "id_key", "mark_key")  # the fingerprint tells a null id from 0
+    chosen = chosen.select(F.coalesce("row.id", F.lit(0)).alias(id_key), F.col("row.mark").alias(mark_key))
+    marked = documents.where(worded).withColumns({id_key: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), mark_key: mark})
+    kept = marked.join(chosen, [id_key, mark_key], "left_semi").dropDuplicates([id_key, mark_key]).drop(id_key, mark_key)
+    return kept.select(*(F.col(f"`{c}`") for c in documents.columns)).unionByName(documents.where(~worded))

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..packaging import ship
+
 #: Bytes of one Arrow batch at most, roughly; the session's own setting holds if it is smaller.
 BATCH_BYTES = 16 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,13 +51,29 @@ def release(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't fill the memory of executors and workers."""
+    """Keep Arrow batches small, so that long texts don't fill the memory of executors and workers.
+
+    The setting is the session's and stays.  The package's code is sent along, as
+    executors may lack it.
+    """
+    ship(spark)
     size = spark.conf.get(_BATCH_SETTING, "64m").lower().rstrip("b")
-    scale = {"k": 10, "m": 20, "g": 30}.get(size[-1:], 0)
-    if not 0 < int(size.rstrip("kmg")) << scale <= BATCH_BYTES:
+    scale = {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}.get(size[-1:], 0)
+    if not 0 < int(size.rstrip("kmgtp")) << scale <= BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def unused_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened where a column (in any case) has them already."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textblocks import Block, mix64, ngram_hashes, windows_inside
 
 #: Cells of the frequency table; fixed, so what is broadcast doesn't grow.
 TABLE_BITS = 24
 _CHUNKS = 64
+#: Partitions whose tables are added in one go.
+PARTS_TOGETHER = 256
 _U64 = np.uint64
 
 
@@ -65,22 +68,34 @@ def table_parts(table: np.ndarray) -> tuple[list[int], list[bytes]]:
     return list(range(_CHUNKS)), [zstandard.compress(np.ascontiguousarray(c, np.uint32).tobytes(), 3) for c in np.split(table, _CHUNKS)]
 
 
-def summed_table(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], dtype: type = np.uint8) -> np.ndarray | None:
-    """Add up tables given as rows (chunk, part) on the executors; ``finish`` turns sums into ``dtype``.
+def _adder(finish: Callable[[np.ndarray], bytes], more: int, dtype: type):
+    """Adds a chunk's parts, compressed numbers of ``dtype``; ``more``: how many key columns follow the chunk's number."""
 
-    Only the finished table, of a fixed size, comes to the driver.
-    """
-
-    def add(chunk: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for part in batch.column(1).to_pylist():
-                counts = np.frombuffer(zstandard.decompress(part), np.uint32).astype(np.uint64)
-                total = counts if total is None else total + counts
-        packed = finish(total).astype(dtype).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([chunk[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "part"])
+            for part in batch.column(1 + more).to_pylist():
+                counts = np.frombuffer(zstandard.decompress(part), dtype)
+                total = counts.astype(np.uint64) if total is None else total + counts
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([finish(total)], pa.binary())], ["chunk", "part"])
+
+    return add
 
-    rows = sorted((r["chunk"], bytes(r["part"])) for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect())
+
+def summed_table(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], dtype: type = np.uint8) -> np.ndarray | None:
+    """Add up tables given as rows (chunk, part) on the executors; ``finish`` turns sums into ``dtype``.
+
+    The tables of ``PARTS_TOGETHER`` partitions at a time are added first, then their
+    sums, so no task reads a part of every partition.  Only the finished table, of a fixed
+    size, comes to the driver.
+    """
+    given: type = np.uint32
+    if parts.rdd.getNumPartitions() > PARTS_TOGETHER:
+        together = parts.select("chunk", F.floor(F.spark_partition_id() / PARTS_TOGETHER).cast("int").alias("some"), "part")
+        some, given = _adder(lambda total: zstandard.compress(total.tobytes(), 3), 1, given), np.uint64
+        parts = together.groupBy("chunk", "some").applyInArrow(some, "chunk int, part binary")
+    last = _adder(lambda total: finish(total).astype(dtype).tobytes(), 0, given)
+    rows = sorted((r["chunk"], bytes(r["part"])) for r in parts.groupBy("chunk").applyInArrow(last, "chunk int, part binary").collect())
     return np.frombuffer(b"".join(part for _, part in rows), dtype) if rows else None
 
 

@@ -72,14 +72,64 @@ def test_small_blocks_and_groups(frame, monkeypatch):
     assert found(j.near_duplicates(frame(pairs))) == brute(pairs)
 
 
-def test_keeps_one_of_each(frame, awkward):
-    pairs = corpus() + awkward
-    docs = frame(pairs)
+def test_long_lists_in_parts(frame, monkeypatch):
+    monkeypatch.setattr(j, "LIST_ROWS", 3)
+    monkeypatch.setattr(j, "GROUP_MEMBERS", 5)
+    pairs = corpus()
+    assert found(j.near_duplicates(frame(pairs).repartition(5))) == brute(pairs)
+
+
+def test_large_families_that_share_passages(frame, monkeypatch):
+    monkeypatch.setattr(j, "GROUP_MEMBERS", 16)
+    rng = random.Random(5)
+    shared = ["common%d" % i for i in range(70)]
+    bases = [["%s%d" % (name, i) for i in range(45)] + shared for name in ("first", "second", "third")]
+    pairs = [p for k, base in enumerate(bases) for p in family(rng, base, 50, 0.01, 1000 * k)]
+    assert found(j.near_duplicates(frame(pairs).repartition(4))) == brute(pairs)
+
+
+def test_words_of_two_letters_in_thue_morse_order_differ(frame):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    pairs = [(1, one), (2, other), (3, one.upper()), (4, " ".join(one)), (5, " ".join(other))]
+    assert found(j.near_duplicates(frame(pairs))) == brute(pairs)
+
+
+def kept_by_brute_force(pairs):
+    """Texts that stay, with ids: of each component the row with the smallest id (null last), whichever text it has."""
+    indexed = [(i, t) for i, (_, t) in enumerate(pairs)]
+    groups = {}
+    for i, n, component, _ in brute(indexed):
+        groups.setdefault(component if n else (i,), []).append(i)
+    out = []
+    for members in groups.values():
+        best = min((pairs[i][0] is None, pairs[i][0] or 0) for i in members)
+        out.append((best, {pairs[i] for i in members if (pairs[i][0] is None, pairs[i][0] or 0) == best}))
+    return out
+
+
+def check_kept(docs, pairs):
     kept = j.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    expected = {c for _, _, c, _ in brute([p for p in pairs if p[0] is not None])}
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(expected) and ids.count(None) == 1
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    expected = kept_by_brute_force(pairs)
+    assert len(rows) == len(expected)
+    for _, choice in expected:
+        assert sum(rows.count(row) for row in choice) >= 1
+    assert sorted(rows, key=repr) == sorted((next(r for r in rows if r in choice) for _, choice in expected), key=repr)
+
+
+def test_keeps_one_of_each(frame, awkward):
+    pairs = corpus() + awkward
+    check_kept(frame(pairs), pairs)
+
+
+def test_repeated_ids_of_different_texts_lose_nothing(frame):
+    a, b, c = ("%s " * 30 % tuple(name + str(i) for i in range(30)) for name in "abc")
+    pairs = [(3, a), (5, a + "more"), (5, b), (7, c), (7, c), (None, b), (None, a + "x"), (None, "only here it stands"), (5, b), (9, ""), (9, None)]
+    check_kept(frame(pairs).repartition(3), pairs)
+    ids = sorted((r.doc_id, r.text) for r in j.keep_one_of_each(frame(pairs)).where("doc_id < 9").collect())
+    assert ids == [(3, a), (5, b), (7, c)]
 
 
 def test_empty_and_null_ids(frame):
