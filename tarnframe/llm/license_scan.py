@@ -16,9 +16,11 @@ out: anchors are chosen so that whatever reaches the containment holds one, so n
 match is lost.
 
 Templates are a parameter of fixed size and are broadcast.  No shuffle but that of
-the matches.  Defined results: null, empty and short texts match nothing; rows
-with one id are reported together; whole texts are read; an empty table gives an
-empty result; extra columns are ignored.
+the matches.  A long text is cut into pieces that overlap by more than a window, each
+a row of its own, so no row holds all windows of a text.  Defined results: null, empty
+and short texts match nothing; rows with one id are reported together; very long texts
+are read whole; a share that ties with the containment matches; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,6 +53,9 @@ TEMPLATES = {
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+#: Longer texts are cut into pieces of so many words, each a row of its own.
+PIECE_WORDS = 4096
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,9 +65,21 @@ def plain_words(text: str) -> list[str]:
     return "".join(c if c in _LOWER or c in "0123456789" else " " for c in lowered).split()
 
 
-def _words(text: Column) -> Column:
-    cleaned = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), "[^a-z0-9]+", " "))
-    return F.split(cleaned, " ")
+def _cleaned(text: Column) -> Column:
+    """The text's words with single blanks between them."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), "[^a-z0-9]+", " "))
+
+
+def _pieces(cleaned: Column, piece_words: int, more_words: int) -> Column:
+    """Cut a long cleaned text at every ``piece_words`` words; each piece goes on for ``more_words`` of the next."""
+    cut = F.regexp_extract_all(cleaned, F.lit(f"(?:[a-z0-9]++ ?+){{1,{piece_words}}}+"), F.lit(0))
+
+    def longer(pieces: Column) -> Column:
+        following = lambda i: F.substring_index(F.coalesce(F.get(pieces, i + 1), F.lit("")), " ", more_words)
+        return F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.concat(F.get(pieces, i), following(i)))
+
+    # so many bytes hold no more words than a piece
+    return F.when(F.octet_length(cleaned) <= 2 * piece_words, F.array(cleaned)).otherwise(_let(cut, longer))
 
 
 @dataclass(frozen=True)
@@ -143,11 +160,14 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
     def anchored(w: Column) -> Column:
         return (F.size(w) >= k) & F.arrays_overlap(w, held)
 
+    # a power of two, so that windows of all widths begin at a piece's first word
+    piece_words = max(PIECE_WORDS, 2 * max(widths))
+
     def windows_of(w: Column) -> Column:
-        """The anchored windows of all widths, each with its words only."""
+        """A piece's anchored windows of all widths, each with its words only."""
 
         def cut(width: int) -> Column:
-            begins = F.sequence(F.lit(0), F.size(w) - k, F.lit(width // 2))
+            begins = F.sequence(F.lit(0), F.least(F.lit(piece_words - 1), F.size(w) - k), F.lit(width // 2))
             return F.transform(begins, lambda at: F.struct(F.lit(width).alias("width"), F.slice(w, at + 1, width + k - 1).alias("w")))
 
         return F.filter(F.concat(*map(cut, widths)), lambda x: anchored(x["w"]))
@@ -164,9 +184,12 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None,
 
     # the outer explodes keep the optimizer from evaluating their arrays a second time, in a filter
     text = F.col(text_col)
-    found = F.when(may_match(text), _let(_words(text), lambda w: F.when(anchored(w), windows_of(w))))
+    pieces = F.when(may_match(text), _let(_cleaned(text), lambda c: _pieces(c, piece_words, piece_words // 2 + k)))
+    found = _let(F.split(F.trim("piece"), " "), lambda w: F.when(anchored(w), windows_of(w)))
     windows = (
-        documents.select(F.col(id_col), F.explode_outer(found).alias("x"))
+        documents.select(F.col(id_col), F.explode_outer(pieces).alias("piece"))
+        .where("piece IS NOT NULL")
+        .select(id_col, F.explode_outer(found).alias("x"))
         .where("x IS NOT NULL")
         .select(id_col, F.col("x.width").alias("width"), signed(F.col("x.w")).alias("window"))
         .select(id_col, "width", F.col("window.seen").alias("seen"), F.posexplode_outer("window.signature").alias("band", "value"))

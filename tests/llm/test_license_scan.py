@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tarnframe.llm.license_scan import TEMPLATES, bands_needed, plain_words, scan_licenses, template_of
 
 from .conftest import PROSE
@@ -44,6 +46,25 @@ def test_empty_and_bands(frame):
     assert bands_needed(known, 0.8, 0.999) > bands_needed(known, 0.8, 0.9) >= 1
 
 
+def test_long_texts_in_pieces(frame, monkeypatch):
+    words = [f"{w}{k % 7}" for k in range(90) for w in PROSE.split()]
+    texts = []
+    for at in range(3900, 4300, 9):
+        notice = list(TEMPLATES.values())[at % len(TEMPLATES)]
+        texts.append((at, " ".join(words[:at] + [notice] + words[at:5000] + [notice + "."] + words[5000:])))
+    assert found(scan_licenses(frame(texts))) == brute(texts)
+
+
+def test_a_text_of_64_mb(spark, tmp_path):
+    notice = TEMPLATES["mit-permission"]
+    filler = F.repeat(F.lit("the river moves slowly past the old mill and children "), 10_000)
+    text = F.repeat(F.concat(filler, F.lit(notice + "\n"), F.col("id").cast("string")), 130)
+    spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/long")  # no constant of the plan
+    docs = spark.read.parquet(f"{tmp_path}/long")
+    assert docs.select(F.octet_length("text")).first()[0] > 64 << 20
+    assert found(scan_licenses(docs)) == {(0, "mit-permission", len(template_of("x", notice).shingles))}
+
+
 def test_main_path_is_native(frame):
     plan = scan_licenses(frame([(1, PROSE)]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
