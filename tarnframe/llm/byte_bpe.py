@@ -3,8 +3,9 @@
 Encoding explodes texts into pre-tokens with positions, block by block (whole
 documents, ``TEXT_PER_BLOCK`` bytes of text, or one longer document).  A block's
 distinct words go, packed, to the partition that their hash names; there each
-distinct word of the corpus is merged once, whatever number of blocks hold it,
-and the ids join back to the blocks.  A block's positions travel beside them as a
+distinct word of the corpus is merged once, whatever number of blocks hold it (again
+only if the task's memo of ``MEMO_BYTES`` has overflowed since), and the ids join back
+to the blocks.  A block's positions travel beside them as a
 compressed stream of word numbers, and with the ids the texts' id lists are
 reassembled by position.  A word is sent once a block, so a frequent word costs a
 word partition no more rows than there are blocks.
@@ -12,13 +13,15 @@ word partition no more rows than there are blocks.
 Decoding joins ids to the table of token bytes, which is as large as the
 vocabulary and broadcast.
 
-A block's number holds a checksum of its content; should the input not be
+A task numbers its blocks; a block's number also holds a checksum of its content.  Should the input not be
 replayed alike after a loss (a file scan is), the parts of a block would not meet
 and the job fails rather than giving a wrong result.
 
-Defined results: null and empty texts have no ids; repeated rows each get their
-own result; an empty table gives an empty result; extra columns are ignored by
-``encode`` and passed on by ``decode``.
+Defined results: null and empty texts have no ids; repeated rows and ids each get
+their own result; of pairs that tie in rank the leftmost is merged first; very long
+texts are a block by themselves, read whole; an empty table gives an empty result;
+extra columns are ignored by ``encode`` and passed on by ``decode``, which gives its
+result another name if a column has it already.
 """
 
 from __future__ import annotations
@@ -36,15 +39,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_pairs import UNIT, Merger, merger_of_ranks, read_ranks, splitter
-from .session import bound_batches
+from .session import bound_batches, unused_names
 from .textblocks import block_ranges, texts_of
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 TEXT_PER_BLOCK = 16 << 20
-#: Words whose ids a worker keeps; it starts anew when full.
-MEMO_WORDS = 300_000
-#: Word partitions for each partition of the input.
+#: Bytes of words and ids that a worker keeps, roughly (it starts anew when full), and the longest word it keeps.
+MEMO_BYTES = 64 << 20
+MEMO_WORD = 64
+_MEMO_ENTRY = 170
+#: Word partitions for each partition of the input, and at most.
 PARTS_PER_PARTITION = 4
+MAX_PARTS = 4096
+#: Bytes of word lists whose words are merged together.
+LISTS_TOGETHER = 256 << 10
 #: Pre-tokens gathered at a time when texts are reassembled.
 GATHER = 1 << 19
 _STREAM = -1
@@ -150,8 +158,8 @@ def _explode(texts: Iterator[str | None], split) -> tuple[list[str], np.ndarray,
     return [listed[i] for i in order], rank[stream], np.diff(upto)
 
 
-def _pack_block(ids: pa.Array, column: pa.Array, split, n_parts: int, serial: int) -> list[tuple[int, int, int, bytes]]:
-    """Rows (part, block, kind, payload): the words of each part, and the stream of positions."""
+def _pack_block(ids: pa.Array, column: pa.Array, split, n_parts: int, task: int, serial: int) -> list[tuple]:
+    """Rows (part, task, block, kind, payload): the words of each part, and the stream of positions."""
     words, stream, counts = _explode((x for at in range(0, len(column), 256) for x in column.slice(at, 256).to_pylist()), split)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
@@ -169,34 +177,60 @@ def _pack_block(ids: pa.Array, column: pa.Array, split, n_parts: int, serial: in
         mine = order[edges[k] : edges[k + 1]]
         if len(mine):
             steps = byte_planes(np.diff(mine, prepend=0))
-            rows.append((k, block, k, pack_parts(steps, byte_planes(lengths[mine]), b"".join([encoded[i] for i in mine]))))
-    rows.append((zlib.crc32(struct.pack("<q", serial)) % n_parts, block, _STREAM, pack_parts(head, byte_planes(counts), np.array([len(words)], np.uint64), *planes)))
+            rows.append((k, task, block, k, pack_parts(steps, byte_planes(lengths[mine]), b"".join([encoded[i] for i in mine]))))
+    rows.append((zlib.crc32(struct.pack("<qq", task, serial)) % n_parts, task, block, _STREAM, pack_parts(head, byte_planes(counts), np.array([len(words)], np.uint64), *planes)))
     return rows
 
 
-def _as_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    part, block, kind, payload = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(kind, pa.int64()), pa.array(payload, pa.binary())], ["part", "block", "kind", "payload"])
-
-
-_ROWS = "part long, block long, kind long, payload binary"
-
-
-def _merge_words(payload: bytes, merger: Merger, memo: dict[bytes, list[int]]) -> bytes:
-    steps, lengths, words = unpack_parts(payload, 3)
-    words, at, sizes, ids = bytes(words), 0, [], []
-    for n in of_planes(lengths).tolist():
-        word = words[at : at + n]
-        at += n
-        found = memo.get(word)
-        if found is None:
-            found = merger.ids(word)
-            if len(memo) >= MEMO_WORDS:
-                memo.clear()
-            memo[word] = found
-        sizes.append(len(found))
-        ids += found
-    return pack_parts(bytes(steps), byte_planes(np.array(sizes)), byte_planes(np.array(ids)))
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    part, task, block, kind, payload = zip(*rows) if rows else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (part, task, block, kind)), pa.array(payload, pa.binary())], ["part", "task", "block", "kind", "payload"])
+
+
+_ROWS = "part long, task long, block long, kind long, payload binary"
+
+
+class WordIds:
+    """The ids of words, packed; a task merges each distinct word once as long as its memo holds."""
+
+    def __init__(self, merger: Merger) -> None:
+        self.merger, self.memo, self.held = merger, {}, 0
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as unsigned 32-bit integers."""
+        memo = self.memo
+        new = [w for w in dict.fromkeys(words) if w not in memo]
+        if new:
+            ids, counts = self.merger.many(new)
+            raw = ids.astype("<u4").tobytes()
+            ends = (4 * np.cumsum(counts)).tolist()
+            for word, a, b in zip(new, [0, *ends], ends):
+                memo[word] = raw[a:b]
+        found = [memo[w] for w in words]
+        for word in new:
+            if len(word) > MEMO_WORD:
+                del memo[word]
+            else:
+                self.held += len(word) + len(memo[word]) + _MEMO_ENTRY
+        if self.held > MEMO_BYTES:
+            memo.clear()
+            self.held = 0
+        return found
+
+
+def _merge_words(payloads: list[bytes], known: WordIds) -> list[bytes]:
+    """Word lists with ids for words; the lists' new words are merged together."""
+    lists, words = [], []
+    for payload in payloads:
+        steps, lengths, joined = unpack_parts(payload, 3)
+        joined, ends = bytes(joined), np.cumsum(of_planes(lengths).astype(np.int64)).tolist()
+        lists.append((bytes(steps), len(words), len(words) + len(ends)))
+        words += [joined[a:b] for a, b in zip([0, *ends], ends)]
+    ids, out = known.of(words), []
+    for steps, a, b in lists:
+        sizes = np.fromiter(map(len, ids[a:b]), np.int64, b - a) // 4
+        out.append(pack_parts(steps, byte_planes(sizes), byte_planes(np.frombuffer(b"".join(ids[a:b]), "<u4"))))
+    return out
 
 
 class TokenBytes:
@@ -268,11 +302,11 @@ def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern:
     token_bytes = spark.sparkContext.broadcast(TokenBytes(ranks) if decoded else None)
     source = documents.select(F.col(id_col), F.col(text_col))
     n_partitions = source.rdd.getNumPartitions()
-    n_parts = max(1, n_partitions) * PARTS_PER_PARTITION
+    n_parts = min(max(1, n_partitions) * PARTS_PER_PARTITION, MAX_PARTS)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
-        serial = TaskContext.get().partitionId() << 12
+        task, serial = TaskContext.get().partitionId(), 0
         waiting: list[pa.RecordBatch] = []
         held = 0
 
@@ -283,7 +317,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern:
                 waiting, held = [], 0
                 ids, column = (table.column(i).combine_chunks() for i in (0, 1))
                 ids, column = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (ids, column))
-                yield _as_batch(_pack_block(ids, column, split, n_parts, serial))
+                yield _as_batch(_pack_block(ids, column, split, n_parts, task, serial))
                 serial += 1
 
         for batch in batches:
@@ -305,10 +339,19 @@ def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern:
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger, memo = shared.value, {}
+        known = WordIds(shared.value)
+        waiting: list[tuple] = []
         for batch in batches:
-            for part, block, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _as_batch([(part, block, kind, payload if kind == _STREAM else _merge_words(payload, merger, memo))])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[3] == _STREAM:
+                    yield _as_batch([row])
+                    continue
+                waiting.append(row)
+                if sum(len(r[4]) for r in waiting) >= LISTS_TOGETHER:
+                    yield _as_batch([(*r[:4], p) for r, p in zip(waiting, _merge_words([r[4] for r in waiting], known))])
+                    waiting = []
+        if waiting:
+            yield _as_batch([(*r[:4], p) for r, p in zip(waiting, _merge_words([r[4] for r in waiting], known))])
 
     def reassemble(table: pa.Table) -> pa.Table:
         doc_ids, n_tokens, packed, texts = _reassemble(table.column("kind").to_pylist(), table.column("payload").to_pylist(), token_bytes.value)
@@ -318,15 +361,19 @@ def encode(documents: DataFrame, ranks: dict[bytes, int] | None = None, pattern:
     kind = documents.schema[id_col].dataType.simpleString()
     words = source.mapInArrow(explode, _ROWS).repartition(n_parts, "part")
     merged = words.mapInArrow(merge, _ROWS)
-    return merged.groupBy("block").applyInArrow(reassemble, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
+    # as many partitions as the input has: the session's number needn't suit it
+    blocks = merged.repartition(max(1, n_partitions), "task", "block")
+    return blocks.groupBy("task", "block").applyInArrow(reassemble, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Replace the packed ids by the bytes of their tokens; other columns pass."""
     ranks = ranks or read_ranks(public_tokenizers.path(RANK_FILE))
+    bound_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(TokenBytes(ranks))
     columns = encoded.columns
     at = columns.index(ids_col)
+    (out_col,) = unused_names([c for c in columns if c != ids_col], out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

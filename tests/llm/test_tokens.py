@@ -3,10 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnframe.llm import byte_bpe
+from tarnframe.llm import byte_bpe, token_counts
 from tarnframe.llm.byte_pairs import merger_of_ranks, read_ranks
 from tarnframe.llm.token_counts import count_tokens, prove_whole_tokens
 
@@ -57,6 +60,47 @@ def test_encoding_equals_the_library_and_decodes(frame, awkward):
     assert byte_bpe.encode(frame([])).collect() == []
 
 
+def test_blocks_of_late_tasks_have_numbers():
+    ids, texts = pa.array([1, 2]), pa.array(["a b c", None])
+    for task in (1 << 19, 1 << 31):
+        rows = byte_bpe._pack_block(ids, texts, byte_bpe.splitter(P.PATTERN), 4, task, 5000)
+        batch = byte_bpe._as_batch(rows)
+        assert set(batch.column("task").to_pylist()) == {task} and len(set(batch.column("block").to_pylist())) == 1
+        assert set(batch.column("part").to_pylist()) <= set(range(4))
+
+
+def test_merging_many_equals_one_by_one():
+    rng = random.Random(2)
+    pieces = [bytes(rng.randrange(256) for _ in range(rng.randrange(90))) for _ in range(300)] + [b"", b"a" * 64, b"a" * 65, b"tion" * 9, b""]
+    for merger in (merger_of_ranks(read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))), prove_whole_tokens(P.path("byte_bpe_50k.json")).merger):
+        flat, counts = merger.many(pieces)
+        one = [merger.ids(x) for x in pieces]
+        assert flat.tolist() == [i for found in one for i in found] and counts.tolist() == list(map(len, one))
+    assert merger.many([])[1].tolist() == []
+
+
+def test_memos_start_anew(frame, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_BYTES", 500)
+    monkeypatch.setattr(token_counts, "MEMO_RUNS", 3)
+    texts = [(i, x) for i, x in enumerate(noise(60))] + [(90, "中文" * 40_000 + " 中文")]
+    reference = encoding()
+    rows = byte_bpe.encode(frame(texts), text_per_block=300).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: reference.encode_ordinary(x) for i, x in texts}
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counted = {r.doc_id: r.n_tokens for r in count_tokens(frame(texts)).collect()}
+    assert counted == {i: len(library.encode(x, add_special_tokens=False).ids) for i, x in texts}
+
+
+def test_other_kinds_of_tokenizer_are_refused():
+    with pytest.raises(ValueError):
+        prove_whole_tokens(P.path("word_bpe_49k.json"))
+
+
+def test_decode_beside_a_column_of_its_name(frame):
+    encoded = byte_bpe.encode(frame([(1, "ab")])).withColumn("Decoded", F.lit(1))
+    assert byte_bpe.decode(encoded).columns == ["doc_id", "n_tokens", "decoded_", "Decoded"]
+
+
 def test_number_planes_round_trip():
     rng = np.random.default_rng(0)
     for top in (100, 5000, 80_000, 2_000_000, 9_000_000):
