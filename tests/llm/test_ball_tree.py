@@ -49,12 +49,36 @@ def test_products_beyond_floats_are_exact(spark):
     assert found(top_inner_products(frame(spark, pairs), F.col("vec_id") == 0)) == brute(pairs, lambda i: i == 0, 10)
 
 
+def test_products_one_apart_beyond_floats(spark):
+    # 2^60 + 1, + 3, + 2 and + 2, which are one float
+    big = float(1 << 20)
+    pairs = [(0, [big, 2**-10]), (1, [big, 2**-10]), (2, [big, 3 * 2**-10]), (3, [big, 2 * 2**-10]), (4, [big, 2 * 2**-10])]
+    rows = found(top_inner_products(frame(spark, pairs), F.col("vec_id") == 0, rows_per_shard=2))
+    assert rows == brute(pairs, lambda i: i == 0, 10) and {(r, j) for _, r, j, _ in rows} == {(1, 2), (2, 3), (3, 4), (4, 1)}
+
+
+def test_products_beyond_64_bits_stop_at_the_end(spark):
+    pairs = [(0, [1e30, 1.0]), (2, [1e30, 5.0]), (1, [1e30, 3.0]), (3, [-1e30, 0.0])]
+    end = (1 << 63) - 1
+    assert found(top_inner_products(frame(spark, pairs), F.col("vec_id") == 0)) == {(0, 1, 1, end), (0, 2, 2, end), (0, 3, 3, -end)}
+
+
+def test_blocks_meet_few_shards(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 6)) * 20
+    pairs = [(i, (middles[i % 40] + rng.normal(size=6)).tolist()) for i in range(2000)]
+    met = spark.sparkContext.accumulator(0)
+    rows = found(top_inner_products(frame(spark, pairs), F.col("vec_id") % 100 == 0, rows_per_shard=40, queries_per_block=2, pairs_met=met))
+    assert rows == brute(pairs, lambda i: i % 100 == 0, 10)
+    assert 0 < met.value < 0.5 * 10 * 50  # at least 10 blocks and 50 shards
+
+
 def test_a_floor_prunes_leaves():
     rng = np.random.default_rng(2)
     rows = np.floor(rng.normal(size=(4000, 4)) * 300)
     tree = build(np.arange(4000), rows)
     query = rows[7]
-    bounds = upper_bounds(tree, query[None])[0]
-    ids, scores, opened = search(tree, 7, query, bounds, 10, -np.inf, True)
-    again = search(tree, 7, query, bounds, 10, scores[-1], True)
+    bounds = upper_bounds(tree.centres, tree.radii, query[None])[0]
+    ids, scores, opened = search(tree, 7, query, bounds, 10, -(1 << 63), 1e9)
+    again = search(tree, 7, query, bounds, 10, int(scores[-1]), 1e9)
     assert again[0].tolist() == ids.tolist() and again[2] <= opened < (tree.left < 0).sum()
