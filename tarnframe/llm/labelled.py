@@ -12,10 +12,12 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, is_held_out: Column, max_rows: int) -> DataFrame:
-    """Texts and labels of at most ``max_rows`` labelled rows that aren't held out, chosen by a hash of the id.
+    """(id, ``_text``, ``_label``) of at most ``max_rows`` labelled documents that aren't held out, chosen by a hash of the id.
 
     Null labels and ids don't take part; an id labelled twice takes its larger
-    label.  The bound makes the chosen ids small enough to broadcast.
+    label, and an id with several documents the smallest text (null counts as empty),
+    so there is one row an id, whatever the tables' order.  The bound makes the
+    chosen ids small enough to broadcast.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out)
@@ -24,5 +26,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
         .orderBy(F.xxhash64(id_col), id_col)
         .limit(max_rows)
     )
-    texts = documents.select(F.col(id_col), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(chosen), id_col).select(id_col, "_text", "_label")
+    texts = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return texts.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))

@@ -13,14 +13,17 @@ repetitions of theirs are searched only in words that are searched anyway.
 
 Scores: words and word beginnings of restored texts that are far more frequent in
 toxic rows form a lexicon; a logistic function of a text's hits gives the score.
-The lexicon comes from a bounded sample of labelled rows (``max_rows``); the function
-is fitted to hits in lexicons of the half of the sample that a row isn't in.
+The lexicon comes from a bounded sample of labelled rows (``max_rows``), of which
+copies with one label count once; the function is fitted to hits in lexicons of the
+half of the sample that a row isn't in (of the whole sample, if only one row is of a
+kind).
 
 Character counts come from every document; they and the lexicon have fixed sizes.
 Rows never leave their partition.  Defined results: null and empty texts have no
-hits and get the score of none; repeated rows get equal scores; without labels of
-both kinds every score is 0; whole texts are read; an empty table gives an empty
-result; extra columns are ignored.
+hits and get the score of none; repeated rows get equal scores; of equally likely
+readings (a tie) the first found stays; without labels of both kinds every score is
+that of no hits, below 1e-12; very long texts are read whole; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +34,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
 from .session import bound_batches, map_arrow, settled
-from .shingles import shingle_hashes, summed_table, tables_of
+from .shingles import TABLE_BITS, ranked_sets, shingle_hashes, summed_table, tables_of
 from .textblocks import Block, Texts, block_of, block_ranges, keyed_by_doc, lowered, mix64, span_hashes, texts_of
 
 MAX_ROWS = 20_000
 FEATURE_BITS = 20
 #: Bytes of word beginnings that are features, beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Spans whose reading a worker keeps (it starts anew when full), and the longest it keeps.
 MEMO_SPANS = 100_000
+MEMO_SPAN = 64
 
 #: Letters that a sign can stand for.
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "*": "aeiou"}
@@ -98,9 +103,11 @@ class CharacterModel:
         """The most likely reading of an obfuscated span."""
         found = self._memo.get(span)
         if found is None:
-            if len(self._memo) >= MEMO_SPANS:
-                self._memo.clear()
-            found = self._memo[span] = self._viterbi(span.lower())
+            found = self._viterbi(span.lower())
+            if len(span) <= MEMO_SPAN:
+                if len(self._memo) >= MEMO_SPANS:
+                    self._memo.clear()
+                self._memo[span] = found
         return found
 
     def _viterbi(self, span: str) -> str:
@@ -323,12 +330,13 @@ class ToxicityModel:
 def lexicon_of(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of each feature the log-odds of toxic against clean rows, less 1.64 of its standard errors; 0 if that is small.
 
-    ``counts`` are by table, label (toxic first) and cell; ``rows`` by label.
+    ``counts`` are by table, label (toxic first) and cell; ``rows`` by label.  A feature
+    needs three toxic rows, or all of them if they are fewer.
     """
     toxic, clean = counts[:, 0], counts[:, 1]
     odds = np.log((toxic + 0.5) / (rows[0] + 1)) - np.log((clean + 0.5) / (rows[1] + 1))
     sure = odds - 1.64 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    return np.where((sure > 1) & (toxic >= 3), sure, 0.0).astype(np.float32)
+    return np.where((sure > 1) & (toxic >= min(3, rows[0])), sure, 0.0).astype(np.float32)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 60) -> np.ndarray:
@@ -346,14 +354,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int
 
 
 def copy_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Add the least hash of each text's shingles: copies and most near copies share it, and count once."""
+    """Add a fingerprint of each text's set of shingles: copies share it, and count once."""
     texts, keys = texts_of(batch.column(1)), [np.zeros(0, np.int64)]
     for first, last in block_ranges(texts.offsets):
         block = block_of(texts, first, last)
         docs, hashes = shingle_hashes(block, 5)
-        least = np.full(block.n_docs, ~_U64(0))
-        np.minimum.at(least, docs, hashes)
-        keys.append(least.view(np.int64))
+        sets, edges = ranked_sets(docs, hashes, block.n_docs, np.zeros(1 << TABLE_BITS, np.uint8))
+        total = np.concatenate([np.zeros(1, _U64), np.cumsum(mix64(sets))])
+        keys.append(mix64(total[edges[1:]] - total[edges[:-1]] + np.diff(edges).astype(_U64)).view(np.int64))
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys))], [*batch.schema.names, "_key"])
 
 
@@ -365,8 +373,12 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     model = ToxicityModel(characters, np.zeros((2, size), np.float32), np.array([-30.0, 0, 0, 0]))
     sample = labelled_sample(documents, labels, id_col, text_col, label_col, held_out(id_col, 5, 0), max_rows)
     kind = documents.schema[id_col].dataType.simpleString()
-    sample = settled(map_arrow(sample, copy_keys, f"`{id_col}` {kind}, _text string, _label int, _key long").dropDuplicates(["_key", "_label"]))
-    sample = sample.select(id_col, "_text", "_label", F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(2)).cast("int").alias("_half"))
+    keyed = settled(map_arrow(sample, copy_keys, f"`{id_col}` {kind}, _text string, _label int, _key long"))
+    # of copies with one label that with the smallest id; then each kind of label is dealt to the halves in turn
+    once = keyed.groupBy("_key", "_label").agg(F.min(id_col).alias(id_col))
+    dealt = Window.partitionBy(F.col("_label") > 0).orderBy(F.xxhash64(id_col, F.lit(3)), id_col, "_key")
+    once = once.withColumn("_half", ((F.row_number().over(dealt) - 1) % 2).cast("int"))
+    sample = settled(keyed.join(F.broadcast(once), [id_col, "_key", "_label"], "inner").select(id_col, "_text", "_label", "_half"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         """By half, table and label (toxic first): the rows with each feature."""
@@ -390,10 +402,13 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     numbers = np.zeros((2, 2))
     for half, clean, n in sample.groupBy("_half", (F.col("_label") <= 0).alias("k")).count().collect():
         numbers[half, int(clean)] = n
-    if not numbers.all():
+    if not numbers.sum(axis=0).all():
         return model
     counts = summed_table(tables_of(sample, presence), lambda x: x, np.uint32).reshape(2, 2, 2, size).astype(float)
-    other = [ToxicityModel(characters, lexicon_of(counts[1 - half], numbers[1 - half]), model.coefficients) for half in (0, 1)]
+    # a half that lacks a kind, as only one row has it, gives no lexicon: the whole sample's takes its place
+    whole = counts.sum(axis=0), numbers.sum(axis=0)
+    given = [(counts[h], numbers[h]) if numbers[h].all() else whole for h in (1, 0)]
+    other = [ToxicityModel(characters, lexicon_of(*g), model.coefficients) for g in given]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Hits in the lexicon of the half that the row isn't in."""
@@ -405,7 +420,7 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
 
     rows = map_arrow(sample, measure, f"id {kind}, label int, a double, b double, c double").toPandas()
     rows = rows.sort_values(["id", "a", "b", "c"], kind="stable")
-    model.lexicon = lexicon_of(counts.sum(axis=0), numbers.sum(axis=0))
+    model.lexicon = lexicon_of(*whole)
     model.coefficients = fit_logistic(rows[["a", "b", "c"]].to_numpy(), rows["label"].gt(0).to_numpy(float))
     return model
 

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tarnframe.llm import toxicity as t
+from tarnframe.llm.labelled import held_out, labelled_sample
 from tarnframe.llm.textblocks import block_of, texts_of
 
 from .conftest import PROSE
@@ -76,32 +77,71 @@ def test_plain_words_are_left_alone(spark, frame):
     assert [r.text for r in restored][:2] == [PROSE, None]
 
 
+def readings_by_enumeration(model, span):
+    """Every reading of a span with its least cost."""
+    closing = len(span.rstrip(t.CLOSING + t.SEPARATORS))
+    paths = {(0.0, (0, 0), "", "")}
+    for at, c in enumerate(span):
+        thrice = span[max(at - 2, 0) : at + 1] == 3 * c or span[max(at - 1, 0) : at + 2] == 3 * c or span[at : at + 3] == 3 * c and at > 0 and span[at - 1] == c
+        double = at > 0 and span[at - 1] == c
+        repeats = c in t.LOOK_ALIKES and not (at >= closing and c in t.CLOSING) or double and c.isalpha()
+        again = t.DOUBLE_COST if double and not thrice else t.REPEAT_COST
+        new = set()
+        for cost, (p, q), last, out in paths:
+            for symbol, sign, price in t._readings(c, at >= closing):
+                if symbol < 0:
+                    new.add((cost + price, (p, q), last, out))
+                elif symbol == 0 and q == 0:
+                    new.add((cost + price, (p, q), "", out + sign))
+                else:
+                    new.add((cost + price + model.surprise[p, q, symbol], (q, symbol), sign, out + sign))
+                if repeats and sign and sign == last:
+                    new.add((cost + again, (p, q), last, out))
+        paths = new
+    least = {}
+    for cost, (p, q), _, out in paths:
+        least[out] = min(least.get(out, float("inf")), cost + (model.surprise[p, q, 0] if q else 0))
+    return least
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(0)
-    model = t.CharacterModel.of_counts(rng.integers(0, 50, 32**3))
-
-    def best(span):
-        paths = [(0.0, (0, 0), "", "")]
-        for at, c in enumerate(span):
-            repeats = c in t.LOOK_ALIKES or any(span[max(k, 0) : k + 3] == 3 * c for k in (at - 2, at - 1) if k >= 0)
-            new = []
-            for cost, (p, q), last, out in paths:
-                for symbol, sign, price in t._readings(c):
-                    if symbol < 0:
-                        new.append((cost + price, (p, q), last, out))
-                    elif symbol == 0 and q == 0:
-                        new.append((cost + price, (p, q), "", out + sign))
-                    else:
-                        new.append((cost + price + model.surprise[p, q, symbol], (q, symbol), sign, out + sign))
-                    if repeats and sign and sign == last:
-                        new.append((cost + t.REPEAT_COST, (p, q), last, out))
-            paths = new
-        return min(cost + (model.surprise[p, q, 0] if q else 0) for cost, (p, q), _, _ in paths)
-
-    for span in ("1d0t", "a$$", "i.d", "sh1t", "p@3", "4b"):
-        out = model.restore(span)
-        # the reading found can be written for no more than the least cost
-        assert out and best(span) < float("inf")
+    for _ in range(3):
+        model = t.CharacterModel.of_counts(rng.integers(0, 50, 32**3))
+        for span in ("1d0t", "a$$", "i.d", "sh1t", "p@3", "4b", "ki11", "kil|.", "s c u", "m0-r", "0o0n"):
+            costs = readings_by_enumeration(model, span)
+            best = min(costs.values())
+            # a state keeps the last letter of its best path only, so a reading may cost a little more than the least
+            assert costs[model.restore(span)] <= best + 1e-9, (span, model.restore(span), min(costs, key=costs.get))
+
+
+def test_one_row_of_a_kind_gives_a_lexicon(spark, frame):
+    rows = [(i, x, int(i == 9)) for i, x, y in corpus(90) if not y or i == 9]
+    model = model_of(spark, frame, rows)
+    assert model.lexicon.max() > 0
+    texts = {i: x for i, x, _ in rows}
+    scored = {r.doc_id: r.score for r in t.score(frame([(1, texts[9]), (2, PROSE), (3, None)]), model).collect()}
+    assert scored[1] > scored[2] == scored[3]
+
+
+def test_the_sample_has_one_row_an_id(spark, frame):
+    rows = corpus(60)
+    pairs = [(i % 7 if y else i, x) for i, x, y in rows] + [(i, x) for i, x, _ in rows for _ in range(3)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = labelled_sample(frame(pairs), labels, "doc_id", "text", "toxic", held_out("doc_id", 5, 0), 20).collect()
+    assert len(sample) == 20 == len({r.doc_id for r in sample})
+    assert all(r._text == min(x for i, x in pairs if i == r.doc_id) for r in sample)
+    one = t.train(frame(pairs), labels, max_rows=20)
+    other = t.train(frame(pairs).repartition(7), labels, max_rows=20)
+    assert (one.lexicon == other.lexicon).all() and np.allclose(one.coefficients, other.coefficients)
+
+
+def test_a_shared_header_costs_no_label(spark, frame):
+    header = "this page was printed for you by the office "
+    rows = [(i, header + x, y) for i, x, y in corpus(90)]
+    model = model_of(spark, frame, rows)
+    scored = {r.doc_id: r.predicted for r in t.score(frame([(i, x) for i, x, _ in rows]), model).collect()}
+    assert sum(scored[i] == y for i, _, y in rows) >= 0.95 * len(rows)
 
 
 def test_awkward_rows(spark, frame, awkward):
