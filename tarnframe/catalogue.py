@@ -9,6 +9,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
+from .plans.ast import Everything
+from .plans.binder import BindError
+from .repl import run_query
 from .storage import scratch_path
 
 
@@ -86,9 +89,9 @@ def _run(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_copy(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """The table as CSV with a header, in a shared folder; the path of the copy."""
+    """The table as CSV files with a header each, in a shared folder; the path of the copy."""
     path = scratch_path(spark, f"{table}-csv")
-    spark.read.parquet(f"{sf_dir}/{table}.parquet").coalesce(1).write.csv(path, header=True)
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").write.csv(path, header=True)
     return path
 
 
@@ -96,12 +99,115 @@ def _csv_query(table: str, select: str, rest: str, spark: SparkSession, sf_dir:
     return Engine(spark).sql(f"SELECT {select} FROM '{csv_copy(spark, sf_dir, table)}' {rest}")
 
 
+def fixture(spark: SparkSession, name: str, lines: list[str]) -> str:
+    """A small text file in a shared folder; its path."""
+    path = scratch_path(spark, name)
+    spark.createDataFrame([("\n".join(lines),)], "line string").coalesce(1).write.text(path)
+    return path
+
+
 def csv_bad_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells past the sampled lines that don't have their column's type are NULL."""
     rows = ["id,score"] + [f"{i},{i}.5" for i in range(20)] + ["x,1.5", "21,y", ",", "null,null", "3.5,7"]
-    path = scratch_path(spark, "bad-cells-csv")
-    spark.createDataFrame([(r,) for r in rows], "line string").coalesce(1).write.text(path)
-    return Engine(spark).sql(f"SELECT score FROM '{path}' WHERE id = NULL")
+    return Engine(spark).sql(f"SELECT score FROM '{fixture(spark, 'bad-cells-csv', rows)}' WHERE id = NULL")
+
+
+NULL_LINES = ["id,b,i,f,s", "1,true,1,1.5,a", "2,false,2,2.5,b", "3,,3,,c", "4,true,,4.5,", "5,,,,", "6,false,5,-1.5,null", "7,true,-3,0.5,d"]
+_NULL_ROWS = """(VALUES (1::BIGINT, true, 1::BIGINT, 1.5::DOUBLE, 'a'), (2, false, 2, 2.5, 'b'), (3, NULL, 3, NULL, 'c'), (4, true, NULL, 4.5, NULL),
+(5, NULL, NULL, NULL, NULL), (6, false, 5, -1.5, 'null'), (7, true, -3, 0.5, 'd')) t(id, b, i, f, s)"""
+#: What is selected, the predicate in the engine's language, and the same in plain SQL.
+NULL_CASES = {
+    "null_equals_null": ("id", "i = NULL", "i IS NULL"),
+    "null_differs_from_value": ("id, i", "i != 2", "i IS DISTINCT FROM 2"),
+    "null_orders_with_nothing": ("id, f", "f <= 1.5", "f <= 1.5"),
+    "null_column_equals_column": ("id", "i = f", "i IS NOT DISTINCT FROM f"),
+    "null_under_and": ("id", "i != 2 AND f > 0", "i IS DISTINCT FROM 2 AND f > 0"),
+    "null_under_or": ("id", "i > 2 OR f > 2", "coalesce(i > 2, false) OR coalesce(f > 2, false)"),
+    "null_under_not": ("id", "NOT (i > 1)", "NOT coalesce(i > 1, false)"),
+    "no_value_under_and": ("id", "b AND i != 2", "b IS NOT NULL AND b AND i IS DISTINCT FROM 2"),
+    "no_value_under_or": ("id", "b OR i = 3", "b IS NOT NULL AND (b OR i IS NOT DISTINCT FROM 3)"),
+    "no_value_under_not": ("id", "NOT b", "b IS NOT NULL AND NOT b"),
+    "bare_boolean_column": ("id", "b", "b IS TRUE"),
+    "negative_integer": ("id, i", "i = -3", "i = -3"),
+    "negative_float": ("id, f", "f < -1.25", "f < -1.25"),
+    "null_text": ("id, s", "s = 'null'", "s = 'null'"),
+    "boolean_never_orders": ("id", "b > false OR id = 1", "id = 1"),
+}
+
+
+def _null_query(select: str, where: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).sql(f"SELECT {select} FROM '{fixture(spark, 'nulls-csv', NULL_LINES)}' WHERE {where}")
+
+
+def count_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COUNT of columns with NULLs."""
+    return Engine(spark).sql(f"SELECT COUNT(*), COUNT(i), COUNT(b), COUNT(f) FROM '{fixture(spark, 'nulls-csv', NULL_LINES)}'")
+
+
+def count_nulls_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COUNT of a column over the selected rows only."""
+    return Engine(spark).sql(f"SELECT COUNT(f), COUNT(*) FROM '{fixture(spark, 'nulls-csv', NULL_LINES)}' WHERE i != 2")
+
+
+def project_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column selected twice; the second is named apart here."""
+    return Engine(spark).sql(f"SELECT n_name, n_name FROM '{sf_dir}/nation.parquet'").toDF("n_name", "n_name_again")
+
+
+def _fields(spark: SparkSession, fields: tuple) -> DataFrame:
+    return spark.createDataFrame([(i, f.name, f.type.value) for i, f in enumerate(fields)], "position int, name string, type string")
+
+
+def validate_headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of a file without a header."""
+    path = fixture(spark, "headerless-csv", ["1,Alice,30.5,true", "2,Bob,25,false"])
+    return _fields(spark, Engine(spark).validate(path, False, (Everything(),))[1])
+
+
+def validate_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of a file with a header."""
+    return _fields(spark, Engine(spark).validate(fixture(spark, "nulls-csv", NULL_LINES), True, (Everything(),))[1])
+
+
+def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted cells with line breaks are one record each, if asked for."""
+    path = fixture(spark, "breaks-csv", ["id,note", '1,"a', 'b"', '2,"c ""d"""', '3,"e', "", 'f, g"'])
+    return Engine(spark, multi_line=True).sql(f"SELECT id, note FROM '{path}' WHERE id >= 1")
+
+
+def _many_parts(rest: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that lie in several partitions, all alike, as their order isn't fixed."""
+    path = scratch_path(spark, "parts") + ".parquet"
+    spark.range(0, 40_000, 1, 7).selectExpr("7L AS v").write.parquet(path)
+    return Engine(spark).sql(f"SELECT v FROM '{path}' {rest}")
+
+
+#: Queries that are refused, and what is said.
+REFUSED = {
+    "SELECT missing FROM '{path}'": "Column 'missing' not found in schema",
+    "SELECT ID FROM '{path}'": "Column 'ID' not found in schema",
+}
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of queries that don't fit their file."""
+    path, out = fixture(spark, "nulls-csv", NULL_LINES), []
+    for query in REFUSED:
+        try:
+            Engine(spark).sql(query.format(path=path))
+            out.append((query, "none"))
+        except BindError as error:
+            out.append((query, str(error)))
+    return spark.createDataFrame(out, "query string, error string")
+
+
+def shell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the shell prints for a query, but for the one with the time."""
+    answer = run_query(Engine(spark), f"SELECT id, b, s FROM '{fixture(spark, 'nulls-csv', NULL_LINES)}' WHERE id > 5")
+    return spark.createDataFrame(list(enumerate(answer.split("\n")[:-1])), "line long, text string")
+
+
+_SHELL_TABLE = ["+----+-------+------+", "| id | b     | s    |", "+====+=======+======+", "| 6  | false | null |", "| 7  | true  | d    |", "+----+-------+------+"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +224,28 @@ _CSV_CASES = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_run, case) for name, case in CASES.items()}
     found |= {name: partial(_csv_query, *parts) for name, parts in _CSV_CASES.items()}
-    return found | {"csv_bad_cells": csv_bad_cells, "flagship": flagship}
+    found |= {name: partial(_null_query, select, where) for name, (select, where, _) in NULL_CASES.items()}
+    found |= {"offset_many_parts": partial(_many_parts, "OFFSET 39000"), "limit_far_offset": partial(_many_parts, "LIMIT 300 OFFSET 25000")}
+    more = (csv_bad_cells, count_nulls, count_nulls_where, project_twice, validate_headerless, validate_header, csv_line_breaks, refused, shell_table, flagship)
+    return found | {f.__name__: f for f in more}
 
 
 def oracle_sql() -> dict[str, str]:
     where = "l_quantity > 30 AND l_quantity < 45 AND l_returnflag = 'R' AND NOT (l_discount > 0.05)"
-    return {name: case.oracle for name, case in CASES.items()} | {
+    nulls = {name: f"SELECT {select} FROM {_NULL_ROWS} WHERE {where}" for name, (select, _, where) in NULL_CASES.items()}
+    errors = ", ".join("('{}', '{}')".format(query.replace("'", "''"), error.replace("'", "''")) for query, error in REFUSED.items())
+    lines = ", ".join(f"({i}::BIGINT, '{line}')" for i, line in enumerate(_SHELL_TABLE))
+    return {name: case.oracle for name, case in CASES.items()} | nulls | {
+        "count_nulls": f"SELECT count(*) AS count_star, count(i) AS count_i, count(b) AS count_b, count(f) AS count_f FROM {_NULL_ROWS}",
+        "count_nulls_where": f"SELECT count(f) AS count_f, count(*) AS count_star FROM {_NULL_ROWS} WHERE i IS DISTINCT FROM 2",
+        "project_twice": "SELECT n_name, n_name AS n_name_again FROM nation",
+        "validate_headerless": "SELECT * FROM (VALUES (0, 'column1', 'Integer'), (1, 'column2', 'Varchar'), (2, 'column3', 'Float'), (3, 'column4', 'Boolean')) t(position, name, type)",
+        "validate_header": "SELECT * FROM (VALUES (0, 'id', 'Integer'), (1, 'b', 'Boolean'), (2, 'i', 'Integer'), (3, 'f', 'Float'), (4, 's', 'Varchar')) t(position, name, type)",
+        "csv_line_breaks": "SELECT * FROM (VALUES (1::BIGINT, 'a' || chr(10) || 'b'), (2, 'c \"d\"'), (3, 'e' || chr(10) || chr(10) || 'f, g')) t(id, note)",
+        "offset_many_parts": "SELECT 7::BIGINT AS v FROM range(1000)",
+        "limit_far_offset": "SELECT 7::BIGINT AS v FROM range(300)",
+        "refused": f"SELECT * FROM (VALUES {errors}) t(query, error)",
+        "shell_table": f"SELECT * FROM (VALUES {lines}) t(line, text)",
         "csv_infer": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 10",
         "csv_count": "SELECT count(*) AS count_star, count(s_acctbal) AS count_s_acctbal FROM supplier WHERE s_acctbal >= 0.0",
         "csv_bad_cells": "SELECT CAST(score AS DOUBLE) AS score FROM (VALUES (1.5), (NULL), (NULL), (7.0)) v(score)",

@@ -43,25 +43,33 @@ def duration(seconds: float) -> str:
 
 
 class Engine:
-    """Queries over single files, on a Spark session that stays the caller's."""
+    """Queries over single files, on a Spark session that stays the caller's.
 
-    def __init__(self, spark: SparkSession) -> None:
+    ``multi_line``: quoted CSV cells may hold line breaks; such files aren't split over tasks.
+    """
+
+    def __init__(self, spark: SparkSession, multi_line: bool = False) -> None:
         self.spark = spark
+        self.multi_line = multi_line
 
     def parse(self, sql: str) -> Query:
         return parse(sql)
 
     def bind(self, query: Query) -> tuple[Relation, Bound]:
-        relation = operators.scan(self.spark, query.file)
+        relation = operators.scan(self.spark, query.file, multi_line=self.multi_line)
         return relation, bind(query, relation.fields)
 
     def sql(self, sql: str) -> DataFrame:
-        """The query's result; nothing but the first lines of a CSV file is read yet."""
+        """The query's result.
+
+        Nothing but the first lines of a CSV file is read yet, except for an OFFSET that
+        skips many rows: that counts the rows of each partition.
+        """
         return operators.build(*self.bind(self.parse(sql)))
 
     def validate(self, file: str, has_header: bool, items: tuple[Item, ...], where: Expression | None = None) -> tuple[str, tuple[Field, ...], list]:
         """(path, schema, selected columns) if the parts of a query fit the file, without running anything."""
-        relation = operators.scan(self.spark, file, has_header)
+        relation = operators.scan(self.spark, file, has_header, self.multi_line)
         chosen = bind_items(items, relation.fields)
         if where is not None:
             check(where, relation.fields)

@@ -47,6 +47,18 @@ def _not_nan(*operands: Compiled) -> list[Column]:
     return [F.coalesce(~F.isnan(x.column), F.lit(True)) for x in operands if x.type is ColumnType.FLOAT and not x.literal]
 
 
+def _numbers_in_order(op: str, left: Compiled, right: Compiled) -> list[Column]:
+    """Conditions that the operands of an ordering are numbers.
+
+    Spark puts NaN above infinity, so against a literal only the larger side can be
+    NaN wrongly, and a bound says that it isn't; unlike isnan, it reaches the reader's filters.
+    """
+    if not (left.literal or right.literal):
+        return _not_nan(left, right)
+    larger = left if op in (">", ">=") else right
+    return [] if larger.literal or larger.type is not ColumnType.FLOAT else [larger.column <= float("inf")]
+
+
 def _ordering(op: str, a: Column, b: Column) -> Column:
     return {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
 
@@ -69,7 +81,7 @@ def _compare(op: str, left: Compiled, right: Compiled, at_root: bool) -> Column:
     if left.type in (ColumnType.BOOLEAN, ColumnType.NULL) or right.type is ColumnType.NULL:
         return F.lit(False)
     holds = _ordering(op, a, b)
-    return reduce(Column.__and__, _not_nan(left, right), holds if at_root else F.coalesce(holds, F.lit(False)))
+    return reduce(Column.__and__, _numbers_in_order(op, left, right), holds if at_root else F.coalesce(holds, F.lit(False)))
 
 
 class Predicates:
@@ -83,6 +95,9 @@ class Predicates:
         """The filter that keeps exactly the rows for which ``e`` is true."""
         if isinstance(e, And):
             return self.condition(e.left) & self.condition(e.right)
+        if isinstance(e, Or) and self._surely(e):
+            # both sides have a value, so NULL may stand for false in each: plain forms reach the reader's filters
+            return self.condition(e.left) | self.condition(e.right)
         if isinstance(e, Compare):
             left, right = self.compile(e.left), self.compile(e.right)
             if not (left.may_lack or right.may_lack):
@@ -90,6 +105,12 @@ class Predicates:
         compiled = self.compile(e)
         return compiled.column if compiled.type is ColumnType.BOOLEAN else F.lit(False)
 
+    def _surely(self, e: Expression) -> bool:
+        """Whether ``e`` is true or false for every row."""
+        if isinstance(e, (And, Or)):
+            return self._surely(e.left) and self._surely(e.right)
+        return self._truth(e)[1]
+
     def compile(self, e: Expression) -> Compiled:
         match e:
             case Literal(value):

@@ -12,9 +12,9 @@ from ..plans.fold import fold
 from ..sources import Relation, open_relation, positional
 
 
-def scan(spark: SparkSession, file: str, has_header: bool = True) -> Relation:
+def scan(spark: SparkSession, file: str, has_header: bool = True, multi_line: bool = False) -> Relation:
     """The file's rows, lazily; Catalyst prunes what isn't used."""
-    return open_relation(spark, file, has_header)
+    return open_relation(spark, file, has_header, multi_line)
 
 
 def filter_rows(rows: DataFrame, where: Expression, bound: Bound) -> DataFrame:
@@ -53,10 +53,15 @@ def skip_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.limit(0)
 
 
+#: Rows up to which Spark's own OFFSET is used, which brings all rows before the place to one task.
+FEW_ROWS = 10_000
+
+
 def limit_rows(rows: DataFrame, limit: int | None, offset: int | None) -> DataFrame:
-    """Skip, then take."""
+    """Skip, then take; where many rows are skipped, or there is no limit, they are dropped where they are."""
     if offset:
-        rows = rows.offset(offset)
+        few = limit is not None and offset + limit <= FEW_ROWS
+        rows = rows.offset(offset) if few or rows.isStreaming else skip_rows(rows, offset)
     return rows if limit is None else rows.limit(limit)
 
 
@@ -66,7 +71,8 @@ def build(relation: Relation, bound: Bound) -> DataFrame:
     if query.where is not None:
         rows = filter_rows(rows, query.where, bound)
     if bound.counts:
-        return limit_rows(aggregate(rows, bound.counts), query.limit, query.offset)
-    if query.offset and query.limit is None:
-        return project(skip_rows(rows, query.offset), bound.names)
-    return limit_rows(project(rows, bound.names), query.limit, query.offset)
+        counted = aggregate(rows, bound.counts)
+        if query.offset:
+            counted = counted.offset(query.offset)
+        return counted if query.limit is None else counted.limit(query.limit)
+    return project(limit_rows(rows, query.limit, query.offset), bound.names)

@@ -37,10 +37,10 @@ def resolve(spark: SparkSession, file: str) -> str:
     return path
 
 
-def open_relation(spark: SparkSession, file: str, has_header: bool = True) -> Relation:
+def open_relation(spark: SparkSession, file: str, has_header: bool = True, multi_line: bool = False) -> Relation:
     from . import csv, parquet
 
     path = resolve(spark, file)
     if path.rstrip("/").endswith(".parquet"):
         return parquet.relation(spark, path)
-    return csv.relation(spark, path, has_header)
+    return csv.relation(spark, path, has_header, multi_line)

@@ -19,6 +19,8 @@ from ..plans.types import ColumnType, Field
 from . import Relation, positional
 
 SAMPLE_LINES = 20
+#: Lines in which the sampled records are looked for if records may have several.
+MULTI_LINES = 1000
 
 #: What counts as a whole or a floating-point number.
 _INTEGER = r"^[+-]?[0-9]+$"
@@ -27,7 +29,7 @@ _I64 = range(-(1 << 63), 1 << 63)
 
 
 def cells(line: str) -> list[str]:
-    return [c.strip() for c in next(csv.reader([line]), [])]
+    return [c.strip() for c in next(csv.reader(line.splitlines(keepends=True)), [])]
 
 
 def infer_type(values: list[str]) -> ColumnType:
@@ -74,13 +76,29 @@ def converted(cell: Column, kind: ColumnType) -> Column:
     return value
 
 
-def relation(spark: SparkSession, path: str, has_header: bool = True) -> Relation:
-    lines = [r[0].rstrip("\r") for r in spark.read.text(path, lineSep="\n").take(SAMPLE_LINES + 1)]
-    fields = infer_fields(lines, has_header)
+def whole_records(lines: list[str]) -> list[str]:
+    """Lines put together to records, where a quoted cell holds line breaks; an unfinished last one is left out."""
+    out, quotes = [""], 0
+    for line in lines:
+        out[-1] += ("\n" if out[-1] else "") + line
+        quotes += line.count('"')
+        if quotes % 2 == 0:
+            out.append("")
+    return out[:-1]
+
+
+def relation(spark: SparkSession, path: str, has_header: bool = True, multi_line: bool = False) -> Relation:
+    """The file's rows.
+
+    By default a line is a record and a file is split over tasks.  With ``multi_line``
+    a quoted cell may hold line breaks, and each file is read by one task.
+    """
+    lines = [r[0].rstrip("\r") for r in spark.read.text(path, lineSep="\n").take(MULTI_LINES if multi_line else SAMPLE_LINES + 1)]
+    fields = infer_fields(whole_records(lines)[: SAMPLE_LINES + 1] if multi_line else lines, has_header)
     names = positional(len(fields))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = spark.read.csv(
-        path, schema=schema, header=has_header, mode="PERMISSIVE", enforceSchema=True, multiLine=False,
+        path, schema=schema, header=has_header, mode="PERMISSIVE", enforceSchema=True, multiLine=multi_line,
         escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     )
     return Relation(path, fields, raw.select(*(converted(F.col(n), f.type).alias(n) for n, f in zip(names, fields))))

@@ -172,3 +172,28 @@ def test_over_stream(spark, tmp_path):
     started.processAllAvailable()
     started.stop()
     assert sorted(r[0] for r in spark.sql("SELECT * FROM over_stream").collect()) == [i for i in range(11, 50) if i % 3 == 1]
+
+
+def test_or_reaches_the_reader(spark):
+    from tarnframe.catalogue import CASES, statement
+
+    for name, pushed in (("filter_or", "Or(GreaterThan("), ("filter_nested", "Or(GreaterThan(")):
+        plan = Engine(spark).sql(statement(CASES[name], "/root/testdata/sf0.001/lineitem.parquet"))._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan.split("PushedFilters")[1].replace("And(", ""), plan
+
+
+def test_far_offsets_leave_rows_where_they_are(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(0, 60_000, 1, 6).write.parquet(path)
+    found = Engine(spark).sql(f"SELECT id FROM '{path}' LIMIT 5 OFFSET 50000")
+    assert "Limit 50005" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 5
+    whole = [r[0] for r in spark.read.parquet(path).collect()]
+    assert [r[0] for r in found.collect()] == whole[50_000:50_005]
+    assert Engine(spark).sql(f"SELECT id FROM '{path}' LIMIT 5 OFFSET 70000").collect() == []
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,note\n1,"a\nb"\n2,c\n3,"d\n\ne, f"\n')
+    assert rows(Engine(spark, multi_line=True).sql(f"SELECT COUNT(*) FROM '{path}'")) == [(3,)]
+    assert rows(Engine(spark, multi_line=True).sql(f"SELECT id, note FROM '{path}'")) == [(1, "a\nb"), (2, "c"), (3, "d\n\ne, f")]
