@@ -13,11 +13,12 @@ bucket with most of the rows is still numbered by many tasks; only the last batc
 of each bucket can be short.
 
 ``pack`` takes a document's number of words (``[^\\x20\\x09-\\x0D]+``) as its length
-and ``n_tokens``; ``pack_tokens`` takes its tokens under a tokenizer.  Defined
-results: null and empty texts have length 0 and share a bucket as any other
-length does; a document longer than the budget is a batch by itself; repeated
-rows are packed each for itself; an empty table gives an empty result; extra
-columns are ignored.
+and ``n_tokens``; ``pack_tokens`` takes its tokens under a tokenizer; ``pack_lengths``
+any column of lengths.  Defined results: null and empty texts have length 0 and share
+a bucket as any other length does; a document longer than the budget is a batch by
+itself; very long texts are counted whole; repeated rows and ids are packed each for
+itself; equal lengths are in one bucket, and of boundaries that cost the same one set
+is taken; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def pack_tokens(documents: DataFrame, n_buckets: int = N_BUCKETS, token_budget:
 
 def pack_lengths(lengths: DataFrame, n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, id_col: str = "doc_id") -> DataFrame:
     """Pack rows (id, n_tokens)."""
-    lengths = settled(lengths)
+    # a row's place tells rows apart whose ids are equal or null
+    lengths = settled(lengths.select(id_col, "n_tokens", F.monotonically_increasing_id().alias("_place")))
     histogram = lengths.groupBy(F.col("n_tokens").alias("longest")).agg(F.count(F.lit(1)).alias("rows")).orderBy("longest").toPandas()
     longest, counts = histogram["longest"].to_numpy(np.int64), histogram["rows"].to_numpy(np.int64)
     bounds = [int(x) for x in longest[optimal_boundaries(longest, counts, n_buckets)]] or [0]
@@ -110,12 +112,12 @@ def pack_lengths(lengths: DataFrame, n_buckets: int = N_BUCKETS, token_budget: i
     placed = (
         lengths.withColumn("bucket", _first_at_least(F.col("n_tokens"), bounds).cast("int"))
         .withColumn("padded_tokens", F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("bucket") + 1).cast("long"))
-        .withColumn("_split", F.pmod(F.xxhash64(id_col), F.lit(n_splits)))
+        .withColumn("_split", F.pmod(F.xxhash64(id_col, "_place"), F.lit(n_splits)))
     )
     sizes = placed.groupBy("bucket", "_split").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("bucket").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "_split", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("bucket", "_split").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens")
+    order = Window.partitionBy("bucket", "_split").orderBy(F.col(id_col).asc_nulls_first(), "n_tokens", "_place")
     per_batch = F.greatest(F.lit(1), F.expr(f"{token_budget} div greatest(padded_tokens, 1)"))
     return (
         placed.withColumn("_number", F.row_number().over(order))

@@ -82,3 +82,16 @@ def test_kept_rows_keep_their_columns(frame, awkward):
 def test_empty_table(frame):
     assert repetition_rules(frame([])).collect() == []
     assert keep_unrepetitive(frame([])).collect() == []
+
+
+def test_lines_of_two_letters_in_thue_morse_order_differ(frame):
+    texts = []
+    for size in (1024, 2048, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(size)]
+        one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+        texts += [one + "\n" + other, one + "\n" + other + "\n" + one, " ".join([one, "x y", other, "x y"] * 20)]
+    found = {r.doc_id: r for r in repetition_rules(frame(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        expected = brute(text)
+        assert {k: found[i][k] for k in expected} == expected
+    assert [found[i].n_dup_lines for i in range(2)] == [0, 1]

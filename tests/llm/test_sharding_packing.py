@@ -1,6 +1,7 @@
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -83,6 +84,45 @@ def test_query_packs_tokens(spark, frame, tmp_path):
     assert all(len(b) == 1 or sum(b) <= packing.TOKEN_BUDGET for b in batches.values())
 
 
+def least_padding(lengths, n_buckets):
+    """The least total padding, by trying every last boundary below each length."""
+    counts = sorted(Counter(lengths).items())
+    best = {0: 0}
+    for _ in range(n_buckets):
+        following = dict(best)
+        for upto in range(1, len(counts) + 1):
+            longest = counts[upto - 1][0]
+            for first in range(upto):
+                if first in best:
+                    cost = best[first] + sum(n * (longest - x) for x, n in counts[first:upto])
+                    following[upto] = min(following.get(upto, cost), cost)
+        best = following
+    return best[len(counts)]
+
+
+def check_packed(rows, lengths, n_buckets, budget):
+    """Whether rows are these (id, length) pairs in buckets of least padding and full batches."""
+    assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=repr) == sorted(lengths, key=repr)
+    longest = {}
+    for r in rows:
+        longest[r.bucket] = max(longest.get(r.bucket, 0), r.n_tokens)
+    assert all(r.padded_tokens == longest[r.bucket] and r.padding == r.padded_tokens - r.n_tokens for r in rows)
+    assert len(longest) <= n_buckets and sum(r.padding for r in rows) == least_padding([n for _, n in lengths], n_buckets)
+    for bucket, top in longest.items():
+        room = max(1, budget // max(top, 1))
+        places = sorted((r.batch, r.slot) for r in rows if r.bucket == bucket)
+        assert places == [divmod(i, room) for i in range(len(places))]
+
+
+def test_packing_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_SPLIT", 40)
+    rng = np.random.default_rng(5)
+    lengths = [(int(i % 300), int(n)) for i, n in enumerate(rng.choice([0, 3, 9, 40, 700, 1025, 1030, 1500, 2600, 2601, 9001, 20_000], 500))]
+    lengths += [(None, 5)] * 200 + [(None, 1026), (7, 9000)]
+    rows = packing.pack_lengths(spark.createDataFrame(lengths, "doc_id long, n_tokens long").repartition(5), 5, 4096)
+    check_packed(rows.collect(), lengths, 5, 4096)
+
+
 def test_long_lengths_are_padded_least(frame):
     # 9001 and 9002 were one class, and no boundary could part them
     rows = packing.pack(frame([(i, "w " * n) for i, n in enumerate([9001] * 5 + [9002])]), n_buckets=2).toPandas()
