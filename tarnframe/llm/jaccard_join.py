@@ -54,7 +54,7 @@ GROUP_SHINGLES = 2_000_000
 #: Sets of a neighbourhood that one task compares at a time.
 GROUP_MEMBERS = 4096
 #: Posts of a frequent shingle that one task handles at a time.
-LIST_ROWS = 256
+LIST_ROWS = 1024
 #: A character of a word.
 _WORD = r"[^\x20\x09-\x0D]"
 _RANGES = 64
@@ -341,14 +341,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _in_lists(posts: DataFrame, value: str) -> DataFrame:
-    """Posts with the least and largest ``value`` of their list, as ``_least`` and ``_most``.
+    """Posts, once each, with the least and largest ``value`` of their list, as ``_least`` and ``_most``.
 
     A list that may be long lies in several parts, each a group of its own; the
-    parts' results are few, and only they meet.
+    parts' results are few, and only they meet.  A class that several tasks have
+    posted stands in a list once from here on.
     """
-    part = Window.partitionBy("h", "part")
+    part = Window.partitionBy("part", "h")
     posts = posts.withColumn("_least", F.min(value).over(part)).withColumn("_most", F.max(value).over(part))
-    return settled(posts.where("parts > 1 OR _least <> _most"))
+    kept = posts.where("parts > 1 OR _least <> _most").dropDuplicates(["part", "h", "cls"])
+    return settled(kept.withColumn("_most", F.when(F.col("parts") > 1, F.col("_most"))))
 
 
 def _over_parts(posts: DataFrame) -> DataFrame:
@@ -360,7 +362,7 @@ def _over_parts(posts: DataFrame) -> DataFrame:
         .where("least <> most")
         .select("h", "least", "most", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("part"))
     )
-    long = posts.where("parts > 1").drop("_least", "_most").join(whole, ["h", "part"])
+    long = posts.where("parts > 1").drop("_least", "_most").join(whole, ["part", "h"])
     short = posts.where("parts = 1").withColumnsRenamed({"_least": "least", "_most": "most"})
     return short.unionByName(long)
 
@@ -376,7 +378,7 @@ def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     rarity, parts_of = spark.sparkContext.broadcast(table), list_parts(table)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (h, part, parts, cls, n and place) for each shingle in the prefix of each set."""
+        """A row (part, parts, h, cls, n and place) for each shingle in the prefix of each set."""
         fresh = Fresh()
         for batch in batches:
             for _, _, sets, edges, classes in _block_sets(texts_of(batch.column(0)), k, rarity.value):
@@ -389,12 +391,12 @@ def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
                 cls = np.repeat(classes[chosen], shown)
                 parts = parts_of[rarity.value[cells(h)]]
                 part = (mix64(cls.view(_U64)) % parts.astype(_U64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part), pa.array(parts), pa.array(cls), pa.array(np.repeat(n, shown) << 32 | place)], ["h", "part", "parts", "cls", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(parts), pa.array(h.view(np.int64)), pa.array(cls), pa.array(np.repeat(n, shown) << 32 | place)], ["part", "parts", "h", "cls", "at"])
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    posts = source.select("text").mapInArrow(post, "h long, part int, parts int, cls long, at long")
-    # a class posted by several tasks stands in a list more than once, which changes nothing
-    shared = _over_parts(_in_lists(posts, "cls")).select("h", "part", "parts", "cls", "at", F.col("least").alias("hub"))
+    # part and parts are nearly always the same: beside each other, and first, they take next to nothing in a shuffle
+    posts = source.select("text").mapInArrow(post, "part int, parts int, h long, cls long, at long")
+    shared = _over_parts(_in_lists(posts, "cls")).select("part", "parts", "h", "cls", "at", F.col("least").alias("hub"))
     labels = shared.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
     sizes = labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members"))
     labels = settled(
@@ -412,11 +414,12 @@ def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
         .select("cls", "side", F.xxhash64("label", first_of, second_of).alias("gkey"))
     )
     # between neighbourhoods: pairs in lists that hold more than one
-    labelled = shared.drop("hub").join(labels.select("cls", "label", "block"), "cls")
+    # labels grow with the input: they are never broadcast, however few they are
+    labelled = shared.join(labels.select("cls", "label").hint("merge"), "cls").select("part", "parts", "h", "cls", "at", "label")
     spread = settled(
         _over_parts(_in_lists(labelled, "label"))
+        .join(labels.select("cls", "block").hint("merge"), "cls")
         .select("h", "cls", "label", "block", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-        .distinct()
     )
     x, y = spread.alias("x"), spread.alias("y")
     shorter = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.cls") < F.col("x.cls")))
@@ -434,7 +437,8 @@ def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     ends = F.array(F.struct(F.col("xc").alias("cls"), F.col("x_side").alias("side")), F.struct(F.col("yc").alias("cls"), (1 - F.col("x_side")).alias("side")))
     between = pairs.select("gkey", F.inline(ends)).distinct()
     met = inside.unionByName(between.select("cls", "side", "gkey"))
-    spreads = read.where("n > 0").select("cls", "n", "spread").join(labels, "cls", "left_semi").dropDuplicates(["cls"])
+    # copies are put together before classes are dealt out by their number
+    spreads = read.where("n > 0").select("cls", "n", "spread").dropDuplicates(["cls"]).join(labels.hint("merge"), "cls", "left_semi")
     groups = settled(
         met.join(spreads, "cls")
         .select("gkey", "side", "cls", "n", "spread")

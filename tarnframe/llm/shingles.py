@@ -63,20 +63,42 @@ def ranked_sets(docs: np.ndarray, hashes: np.ndarray, n_docs: int, rarity: np.nd
     return ranked[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts, mostly 0 or 1, compressed: how many, which aren't 0, and those as bytes (as eight from 255 on)."""
+    held = counts[counts > 0]
+    large = held >= 255
+    parts = [np.array([len(counts)], "<u8"), np.packbits(counts > 0), np.where(large, 255, held).astype(np.uint8), held[large].astype("<u8")]
+    return zstandard.compress(b"".join(p.tobytes() for p in parts), 3)
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    """The counts of ``packed_counts``."""
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    n = int(raw[:8].view("<u8")[0])
+    at = 8 - (-n // 8)
+    flags = np.unpackbits(raw[8:at], count=n).astype(bool)
+    n_held = int(flags.sum())
+    held = raw[at : at + n_held].astype(_U64)
+    held[held == 255] = np.frombuffer(raw[at + n_held :].tobytes(), "<u8")
+    out = np.zeros(n, _U64)
+    out[flags] = held
+    return out
+
+
 def table_parts(table: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """A fixed-size table of counts as numbered, compressed chunks."""
-    return list(range(_CHUNKS)), [zstandard.compress(np.ascontiguousarray(c, np.uint32).tobytes(), 3) for c in np.split(table, _CHUNKS)]
+    """A fixed-size table of counts as numbered, packed chunks."""
+    return list(range(_CHUNKS)), [packed_counts(c) for c in np.split(table, _CHUNKS)]
 
 
-def _adder(finish: Callable[[np.ndarray], bytes], more: int, dtype: type):
-    """Adds a chunk's parts, compressed numbers of ``dtype``; ``more``: how many key columns follow the chunk's number."""
+def _adder(finish: Callable[[np.ndarray], bytes], more: int):
+    """Adds a chunk's packed parts; ``more``: how many key columns follow the chunk's number."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for part in batch.column(1 + more).to_pylist():
-                counts = np.frombuffer(zstandard.decompress(part), dtype)
-                total = counts.astype(np.uint64) if total is None else total + counts
+                counts = unpacked_counts(part)
+                total = counts if total is None else total + counts
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([finish(total)], pa.binary())], ["chunk", "part"])
 
     return add
@@ -89,12 +111,10 @@ def summed_table(parts: DataFrame, finish: Callable[[np.ndarray], np.ndarray], d
     sums, so no task reads a part of every partition.  Only the finished table, of a fixed
     size, comes to the driver.
     """
-    given: type = np.uint32
     if parts.rdd.getNumPartitions() > PARTS_TOGETHER:
         together = parts.select("chunk", F.floor(F.spark_partition_id() / PARTS_TOGETHER).cast("int").alias("some"), "part")
-        some, given = _adder(lambda total: zstandard.compress(total.tobytes(), 3), 1, given), np.uint64
-        parts = together.groupBy("chunk", "some").applyInArrow(some, "chunk int, part binary")
-    last = _adder(lambda total: finish(total).astype(dtype).tobytes(), 0, given)
+        parts = together.groupBy("chunk", "some").applyInArrow(_adder(packed_counts, 1), "chunk int, part binary")
+    last = _adder(lambda total: finish(total).astype(dtype).tobytes(), 0)
     rows = sorted((r["chunk"], bytes(r["part"])) for r in parts.groupBy("chunk").applyInArrow(last, "chunk int, part binary").collect())
     return np.frombuffer(b"".join(part for _, part in rows), dtype) if rows else None
 

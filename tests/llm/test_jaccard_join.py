@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from tarnframe.llm import jaccard_join as j
+from tarnframe.llm import shingles as shingle_tables
 
 from .conftest import PROSE
 
@@ -154,3 +155,20 @@ def test_components_of_a_long_path(spark):
 
 def test_local_roots():
     assert j.local_roots(6, np.array([1, 2, 5]), np.array([2, 3, 4])).tolist() == [0, 1, 1, 1, 4, 4]
+
+
+def test_tables_add_up_in_two_levels(spark, monkeypatch):
+    def table(batches):
+        out = np.zeros(640, np.uint32)
+        for batch in batches:
+            np.add.at(out, batch.column(0).to_numpy() % 640, 1)
+        return out
+
+    numbers = spark.range(0, 50_000, 1, 9)
+    expected = np.bincount(np.arange(50_000) % 640)
+    for together in (256, 2):
+        monkeypatch.setattr(shingle_tables, "PARTS_TOGETHER", together)
+        parts = shingle_tables.tables_of(numbers, table)
+        assert (shingle_tables.summed_table(parts, lambda x: x, np.uint64) == expected).all()
+    for counts in ([0, 1, 254, 255, 256, 70_000], [0], [1] * 9):
+        assert shingle_tables.unpacked_counts(shingle_tables.packed_counts(np.array(counts))).tolist() == counts
