@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, labelled_sample
@@ -374,10 +374,11 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_
     sample = labelled_sample(documents, labels, id_col, text_col, label_col, held_out(id_col, 5, 0), max_rows)
     kind = documents.schema[id_col].dataType.simpleString()
     keyed = settled(map_arrow(sample, copy_keys, f"`{id_col}` {kind}, _text string, _label int, _key long"))
-    # of copies with one label that with the smallest id; then each kind of label is dealt to the halves in turn
+    # of copies with one label that with the smallest id; the median of its ids' hashes halves each kind of label
     once = keyed.groupBy("_key", "_label").agg(F.min(id_col).alias(id_col))
-    dealt = Window.partitionBy(F.col("_label") > 0).orderBy(F.xxhash64(id_col, F.lit(3)), id_col, "_key")
-    once = once.withColumn("_half", ((F.row_number().over(dealt) - 1) % 2).cast("int"))
+    once = once.withColumns({"_kind": F.col("_label") > 0, "_dealt": F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 40))})
+    middle = once.groupBy("_kind").agg(F.median("_dealt").alias("_middle"))
+    once = once.join(F.broadcast(middle), "_kind").withColumn("_half", (F.col("_dealt") > F.col("_middle")).cast("int")).drop("_kind", "_dealt", "_middle")
     sample = settled(keyed.join(F.broadcast(once), [id_col, "_key", "_label"], "inner").select(id_col, "_text", "_label", "_half"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
