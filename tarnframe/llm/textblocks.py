@@ -49,6 +49,19 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def _eight_bytes(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as a number; zeros follow the data."""
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def beginning_hashes(data: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """``span_hashes`` of the first bytes, for sizes of at most eight."""
+    first = _eight_bytes(data)[starts]
+    return [mix64(mix64(first & _FIRST_BYTES[k]) ^ _U64(k * int(_GOLDEN) % (1 << 64))) for k in sizes]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, the same wherever the span stands.
 
@@ -56,9 +69,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     results are added up; spans of at most eight bytes have different hashes for certain
     if they are equally long.
     """
-    padded = np.zeros(len(data) + 16, dtype=np.uint8)
-    padded[: len(data)] = data
-    words = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+    words = _eight_bytes(data)
     lengths = ends - starts
     total = mix64(words[starts] & _FIRST_BYTES[np.minimum(lengths, 8)])
     longer = np.flatnonzero(lengths > 8)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, labelled_sample
 from .session import bound_batches, map_arrow, settled
 from .shingles import TABLE_BITS, ranked_sets, shingle_hashes, summed_table, tables_of
-from .textblocks import Block, Texts, block_of, block_ranges, keyed_by_doc, lowered, mix64, span_hashes, texts_of
+from .textblocks import Block, Texts, beginning_hashes, block_of, block_ranges, keyed_by_doc, lowered, mix64, span_hashes, texts_of
 
 MAX_ROWS = 20_000
 FEATURE_BITS = 20
@@ -286,8 +286,8 @@ def word_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
         starts += (ends - starts > 1) & _EDGE[data[starts]]
     data = lowered(data)
     columns = [span_hashes(data, starts, ends)]
-    for k in BEGINNINGS:
-        hashes = mix64(span_hashes(data, starts, np.minimum(starts + k, ends)) + _U64(k))
+    for k, beginning in zip(BEGINNINGS, beginning_hashes(data, starts, BEGINNINGS)):
+        hashes = mix64(beginning + _U64(k))
         columns.append(np.where(ends - starts > k, hashes, columns[0]))
     return block.doc, np.column_stack(columns)
 
