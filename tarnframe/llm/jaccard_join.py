@@ -22,6 +22,10 @@
    prefix index, length, suffix and exact verification, once per pair.
 5. Components of the links are contracted by alternating stars.
 
+Rows of one class, classes of one label or component, and edges of one node may be a
+large share of all: such keys, of which there can be few only, are joined where their
+rows are (``session.joined_by_key``).
+
 Sets are compared through 64-bit hashes of shingles and classes through a 64-bit
 fingerprint of the set.
 
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import bound_batches, settled, unused_names
+from .session import bound_batches, joined_by_key, settled, unused_names
 from .shingles import TABLE_BITS, cells, log_scale, ranked_sets, shingle_hashes, summed_table, table_parts, tables_of
 from .textblocks import blocks_of, mix64, texts_of
 
@@ -324,20 +328,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     until no edge changes.
     """
     now = settled(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    state = None
+    state, n_edges = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("_degree"))
+        large = joined_by_key(both, least, "a", "_degree", 2 * n_edges).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = settled(large.where(F.col("a") != F.col("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_degree"))
+        small = joined_by_key(large, least, "a", "_degree", large.count())
         moved = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = settled(moved.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = seen
+        state, n_edges = seen, seen[0]
 
 
 def _in_lists(posts: DataFrame, value: str) -> DataFrame:
@@ -397,10 +401,10 @@ def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     # part and parts are nearly always the same: beside each other, and first, they take next to nothing in a shuffle
     posts = source.select("text").mapInArrow(post, "part int, parts int, h long, cls long, at long")
     shared = _over_parts(_in_lists(posts, "cls")).select("part", "parts", "h", "cls", "at", F.col("least").alias("hub"))
-    labels = shared.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n"))
-    sizes = labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members"))
+    labels = settled(shared.groupBy("cls").agg(F.min("hub").alias("label"), F.first(F.shiftright("at", 32)).alias("n")))
+    sizes = settled(labels.groupBy("label").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_members")))
     labels = settled(
-        labels.join(sizes, "label")
+        joined_by_key(labels, sizes, "label", "_members", labels.count())
         .withColumn("blocks", F.greatest(F.ceil(F.col("_total") / GROUP_SHINGLES), F.ceil(F.col("_members") / GROUP_MEMBERS)).cast("long"))
         .select("cls", "label", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block"), "_members")
     )
@@ -478,20 +482,22 @@ def _joined(source: DataFrame, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     links = settled(grouped.mapInArrow(_verify_groups(t, GROUP_SHINGLES), "cls long, root long, links long"))
     roots = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     degrees = links.groupBy("cls").agg(F.sum("links").alias("_links"))
-    placed = (
+    placed = settled(
         classes.join(roots, F.col("cls") == F.col("node"), "left")
         .select("cls", "rep", "size", F.coalesce("root", "cls").alias("root"))
         .join(degrees, "cls", "left")
     )
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows, placed.join(smallest, "root").select("cls", "root", "component_id", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    smallest = settled(placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_classes")))
+    placed = joined_by_key(placed, smallest, "root", "_classes", placed.count())
+    return rows, placed.select("cls", "root", "size", "component_id", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), n_links."""
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("mark"))
     rows, of_class = _joined(source, k, threshold)
-    filled = rows.where("n > 0").select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component_id", "n_links")
+    worded = rows.where("n > 0").select("id", "n", "cls")
+    filled = joined_by_key(worded, settled(of_class), "cls", "size", worded.count()).select("id", "n", "component_id", "n_links")
     bare = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return filled.unionByName(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
@@ -511,7 +517,9 @@ def keep_one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str
     source = documents.where(worded).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
     rows, of_class = _joined(source, k, threshold)
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    chosen = rows.join(of_class.select("cls", "root"), "cls").groupBy("root").agg(F.min(row).alias("row"))
+    # a class's copies are put together before it meets its component
+    of_copies = rows.groupBy("cls").agg(F.min(row).alias("row"))
+    chosen = of_copies.join(of_class.select("cls", "root"), "cls").groupBy("root").agg(F.min("row").alias("row"))
     id_key, mark_key = unused_names(documents.columns, "id_key", "mark_key")  # the fingerprint tells a null id from 0
     chosen = chosen.select(F.coalesce("row.id", F.lit(0)).alias(id_key), F.col("row.mark").alias(mark_key))
     marked = documents.where(worded).withColumns({id_key: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), mark_key: mark})

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..packaging import ship
 
@@ -14,6 +15,9 @@ from ..packaging import ship
 BATCH_BYTES = 16 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: Keys that ``joined_by_key`` may broadcast are fewer than these.
+HOT_KEYS = 4096
+
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tarnframe"
 
 
@@ -63,6 +67,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def joined_by_key(rows: DataFrame, by_key: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Rows joined to ``by_key``, which has one row a key, and in ``size`` how many of the ``total`` rows have it.
+
+    Keys with more than one in ``HOT_KEYS`` of all rows are fewer than ``HOT_KEYS``: they are
+    broadcast, and their rows stay where they are.  All others meet in a shuffle, in which no key has
+    more than that share.
+    """
+    hot = by_key.where(F.col(size) * HOT_KEYS > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = by_key.where(F.col(size) * HOT_KEYS <= total)
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key))
+
+
 def unused_names(columns: list[str], *wanted: str) -> list[str]:
     """The wanted names, lengthened where a column (in any case) has them already."""
     taken = {c.lower() for c in columns}

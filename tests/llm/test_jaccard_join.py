@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from tarnframe.llm import jaccard_join as j
+from tarnframe.llm import session
 from tarnframe.llm import shingles as shingle_tables
 
 from .conftest import PROSE
@@ -172,3 +173,22 @@ def test_tables_add_up_in_two_levels(spark, monkeypatch):
         assert (shingle_tables.summed_table(parts, lambda x: x, np.uint64) == expected).all()
     for counts in ([0, 1, 254, 255, 256, 70_000], [0], [1] * 9):
         assert shingle_tables.unpacked_counts(shingle_tables.packed_counts(np.array(counts))).tolist() == counts
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    rng = random.Random(4)
+    keys = [7] * 300 + [8] * 120 + [rng.randrange(100, 160) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k long").repartition(5)
+    by_key = spark.createDataFrame([(k, keys.count(k), k * k) for k in set(keys)], "k long, size long, v long")
+    expected = sorted((k, i, keys.count(k), k * k) for i, k in enumerate(keys))
+    for most in (2, 4, 4096):
+        monkeypatch.setattr(session, "HOT_KEYS", most)
+        assert sorted(tuple(r) for r in session.joined_by_key(rows, by_key, "k", "size", len(keys)).collect()) == expected
+    empty = rows.limit(0)
+    assert session.joined_by_key(empty, by_key.limit(0), "k", "size", 0).collect() == []
+
+
+def test_copies_and_components_of_most_rows(frame, monkeypatch):
+    monkeypatch.setattr(session, "HOT_KEYS", 4)
+    pairs = corpus() + [(40_000 + i, PROSE) for i in range(200)]
+    assert found(j.near_duplicates(frame(pairs).repartition(6))) == brute(pairs)
