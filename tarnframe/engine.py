@@ -62,8 +62,9 @@ class Engine:
     def sql(self, sql: str) -> DataFrame:
         """The query's result.
 
-        Nothing but the first lines of a CSV file is read yet, except for an OFFSET that
-        skips many rows: that counts the rows of each partition.
+        Nothing but the first lines of a CSV file is read yet, with two exceptions: a LIMIT
+        over several files finds out how many of the first ones have its rows, and an OFFSET
+        without a LIMIT, or either past ``operators.FEW_ROWS``, counts the rows of each split.
         """
         return operators.build(*self.bind(self.parse(sql)))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Predicates
@@ -53,16 +55,80 @@ def skip_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.limit(0)
 
 
-#: Rows up to which Spark's own OFFSET is used, which brings all rows before the place to one task.
+#: Rows up to which those before the end of a LIMIT are brought to one task.
 FEW_ROWS = 10_000
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """The rows of a scan with their place in the table, ``_place``: file by name, split of the file, number.
+
+    Spark reads larger files first and gathers the rows of tasks in any order, so neither
+    its partitions nor the order of arrival tell which rows are the first ones.
+    """
+    file = rows.metadataColumn("_metadata")
+    place = F.struct(file.file_path.alias("file"), file.file_block_start.alias("split"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("_place", place)
+
+
+def head(rows: DataFrame, n: int) -> DataFrame:
+    """Rows with their place, among them the first n of the table.
+
+    The splits of a single file are read in order, so each task stops after n rows.  Of
+    several files only the first ones by name are read, as many as have n rows.
+    """
+    files = sorted(re.sub("^file:/+", "file:/", f) for f in rows.inputFiles())
+    taken = 1
+    while taken < len(files):
+        file = rows.metadataColumn("_metadata").file_path
+        first = rows.where(file == files[0] if taken == 1 else file <= files[taken - 1])
+        if first.limit(n).count() >= n:
+            break
+        taken *= 4
+    else:
+        first = rows
+    if len(files) > 1 and taken > 1:
+        return placed(first)
+    plan = placed(first).limit(n)._jdf.logicalPlan().child()  # the limit of each task without the one of all
+    spark = rows.sparkSession
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
+def between(rows: DataFrame, start: int, end: int | None) -> DataFrame:
+    """The rows from the start-th to before the end-th place, each left where it is; only the rows of each split are counted."""
+    found = rows.groupBy("_place.file", "_place.split").agg(F.min("_place.row"), F.count(F.lit(1))).collect()
+    splits = sorted(tuple(r) for r in found)
+
+    def edge(n: int) -> Column | None:
+        before = 0
+        for file, split, first, count in splits:
+            if before + count > n:
+                return F.struct(F.lit(file).alias("file"), F.lit(split).alias("split"), F.lit(first + n - before).alias("row"))
+            before += count
+        return None
+
+    lower, upper = edge(start), None if end is None else edge(end)
+    if lower is None:
+        return rows.limit(0)
+    rows = rows.where(F.col("_place") >= lower)
+    return rows if upper is None else rows.where(F.col("_place") < upper)
+
+
 def limit_rows(rows: DataFrame, limit: int | None, offset: int | None) -> DataFrame:
-    """Skip, then take; where many rows are skipped, or there is no limit, they are dropped where they are."""
+    """Skip, then take, in the order of the table's files; where many rows are concerned they are dropped where they are.
+
+    A LIMIT with an OFFSET past ``FEW_ROWS`` counts in the order in which Spark reads the files (``skip_rows``).
+    """
+    if rows.isStreaming or limit == 0:
+        rows = rows.offset(offset) if offset else rows
+        return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return between(placed(rows), offset, None).drop("_place") if offset else rows
+    end = limit + (offset or 0)
+    if end <= FEW_ROWS:
+        return head(rows, end).orderBy("_place").limit(end).offset(offset or 0).drop("_place")
     if offset:
-        few = limit is not None and offset + limit <= FEW_ROWS
-        rows = rows.offset(offset) if few or rows.isStreaming else skip_rows(rows, offset)
-    return rows if limit is None else rows.limit(limit)
+        return skip_rows(rows, offset).limit(limit)
+    return between(head(rows, end), 0, end).drop("_place")
 
 
 def build(relation: Relation, bound: Bound) -> DataFrame:

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 
 from tarnframe import repl
@@ -197,3 +199,38 @@ def test_quoted_line_breaks(spark, tmp_path):
     path.write_text('id,note\n1,"a\nb"\n2,c\n3,"d\n\ne, f"\n')
     assert rows(Engine(spark, multi_line=True).sql(f"SELECT COUNT(*) FROM '{path}'")) == [(3,)]
     assert rows(Engine(spark, multi_line=True).sql(f"SELECT id, note FROM '{path}'")) == [(1, "a\nb"), (2, "c"), (3, "d\n\ne, f")]
+
+
+def test_limits_take_the_first_rows_of_the_files_by_name(spark, tmp_path):
+    path, ends = tmp_path / "t.parquet", [0, 20_000, 80_000, 100_000, 300_000, 310_000]
+    path.mkdir()
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        spark.range(a, b).coalesce(1).write.parquet(f"{tmp_path}/part")
+        next((tmp_path / "part").glob("*.parquet")).rename(path / f"{k}.parquet")
+        shutil.rmtree(tmp_path / "part")
+
+    def found(rest):
+        query = Engine(spark).sql(f"SELECT id FROM '{path}' {rest}")
+        query.write.mode("overwrite").parquet(f"{tmp_path}/out")
+        kept = sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+        assert kept == sorted(r[0] for r in query.collect())
+        return kept
+
+    assert found("LIMIT 1000") == list(range(1000))
+    assert found("LIMIT 70 OFFSET 150") == list(range(150, 220))
+    assert found("WHERE id >= 19990 LIMIT 30 OFFSET 5") == list(range(19_995, 20_025))
+    assert found("WHERE id >= 299990 LIMIT 30") == list(range(299_990, 300_020))
+    assert found("LIMIT 85000") == list(range(85_000))
+    assert found("LIMIT 400000") == list(range(310_000))
+    assert found("OFFSET 299995") == list(range(299_995, 310_000))
+    assert found("WHERE id < 5 LIMIT 10 OFFSET 5") == [] == found("OFFSET 310000")
+
+
+def test_limits_of_one_file_of_many_splits(spark, sql):
+    text, size = "id\n" + "".join(f"{i}\n" for i in range(60_000)), "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "20000")
+    try:
+        for rest, expected in (("LIMIT 9000", range(9000)), ("WHERE id > 30000 LIMIT 50 OFFSET 3", range(30_004, 30_054)), ("LIMIT 25000", range(25_000)), ("OFFSET 59000", range(59_000, 60_000))):
+            assert sorted(r[0] for r in rows(sql(text, f"SELECT id FROM t {rest}"))) == list(expected)
+    finally:
+        spark.conf.unset(size)
