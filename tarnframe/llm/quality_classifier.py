@@ -7,17 +7,23 @@ Bradley-Terry likelihood.  The cut is a quantile of the fitted rows' strengths,
 the share of them labelled bad; scores are the logistic of the distance to it,
 so 0.5 lies at the cut.
 
-Fitting uses at most ``max_rows`` labelled rows and ``n_pairs`` pairs, both
-documented parameters, on the driver; scoring streams whole texts through numpy
+Fitting uses every labelled row that isn't held out, and every pair of a good and
+a bad one.  Pairs aren't formed: the loss depends on two strengths only, so what a
+row adds is a smooth function of its strength, which follows from the other
+class's strengths counted on a fine grid (see ``fit_weights``).  Each step is a few
+sums over the rows' features, which stay in the checkpoint folder; the driver gets
+tables of fixed size from each task.  Scoring streams whole texts through numpy
 without a shuffle.
 
 Defined results: null and empty texts are scored as texts without words; repeated
-rows get equal scores; without labels of both kinds every score is 0.5; an empty
+rows get equal scores; an id labelled twice takes its larger label, and of an id's
+documents one is fitted, that whose features come first as bytes; without labels of both kinds every score is 0.5; an empty
 table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample
-from .session import map_arrow
+from .labelled import held_out
+from .session import bound_batches, map_arrow, settled
 from .textblocks import (
     Block,
     Texts,
@@ -41,9 +47,12 @@ from .textblocks import (
     windows_inside,
 )
 
-MAX_ROWS = 20_000
-N_PAIRS = 100_000
 _RIDGE = 1e-3
+#: Nodes of the grid of strengths, and of the coarser one for the curvature.
+_FINE, _COARSE = 8192, 256
+_ROUNDS = 50
+#: Labelled rows of one task, roughly, and tasks at most.
+_TASK_ROWS, _MAX_TASKS = 16_384, 512
 
 #: Character classes whose share of the text is a feature.
 CHARACTER_CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&", "|", "<>{}[]\\", "!?", ".", ",;:", "/@_=+-", "\"'()", "\n")
@@ -127,8 +136,11 @@ class QualityModel:
     cut: float = 0.0
     slope: float = 1.0
 
+    def expanded(self, features: np.ndarray) -> np.ndarray:
+        return expand((features - self.centre) / self.scale)
+
     def strengths(self, features: np.ndarray) -> np.ndarray:
-        return expand((features - self.centre) / self.scale) @ self.weights
+        return self.expanded(features) @ self.weights
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.strengths(features) - self.cut), -30, 30)))
@@ -154,35 +166,199 @@ def fit_pairs(differences: np.ndarray, rounds: int = 25) -> np.ndarray:
     return w
 
 
-def fit_bradley_terry(features: np.ndarray, labels: np.ndarray, n_pairs: int = N_PAIRS, seed: int = 7) -> QualityModel:
-    """Learn from random (good, bad) pairs of the given rows."""
-    d = features.shape[1]
-    good, bad = np.flatnonzero(labels > 0), np.flatnonzero(labels <= 0)
-    if not len(good) or not len(bad):
+#: What a function of (features, labels) gives over all rows: its values for parts of them, put together by a ufunc.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray], np.ufunc], np.ndarray]
+
+
+def on_grid(s: np.ndarray, low: float, step: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node below each value and how far the value is on its way to the next node."""
+    at = (s - low) / step
+    node = np.clip(at.astype(np.int64), 0, size - 2)
+    return node, at - node
+
+
+def counted(node: np.ndarray, part: np.ndarray, size: int, weights: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights dealt to the two nodes around each value."""
+    return np.bincount(node, weights * (1 - part), size) + np.bincount(node + 1, weights * part, size)
+
+
+def against(f: Callable[[np.ndarray], np.ndarray], counts: np.ndarray, step: float) -> np.ndarray:
+    """For each node k the sum over nodes j of ``f((k - j) * step) * counts[j]``, as a convolution."""
+    n = len(counts)
+    size = 1 << (3 * n).bit_length()
+    kernel = f(np.arange(1 - n, n) * step)
+    return np.fft.irfft(np.fft.rfft(kernel, size) * np.fft.rfft(counts, size), size)[n - 1 : 2 * n - 1]
+
+
+def _beaten(u: np.ndarray) -> np.ndarray:
+    """The probability that the bad one of a pair wins, whose strength is ``u`` below the good one's."""
+    return 1 / (1 + np.exp(np.clip(u, -500, 500)))
+
+
+def _curvature(u: np.ndarray) -> np.ndarray:
+    return _beaten(u) * _beaten(-u)
+
+
+def fit_weights(total: Total, model: QualityModel, n_good: int, n_bad: int) -> np.ndarray:
+    """Newton steps on the mean logistic loss of all pairs with a ridge.
+
+    Loss and gradient come from strengths counted on ``_FINE`` nodes, between which the
+    logistic is taken as straight: with strengths 40 apart it is wrong by less than 1e-6.
+    The coarser grid only shapes the steps, not where they end.
+    """
+    pairs, size = float(n_good) * n_bad, len(model.weights)
+    w, last, before = np.zeros(size), np.inf, np.zeros(size)
+    for _ in range(_ROUNDS):
+        here = QualityModel(model.centre, model.scale, w)
+
+        def extent(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            s = here.strengths(x)
+            return np.array([s.min(initial=np.inf), -s.max(initial=-np.inf)])
+
+        low, high = total(extent, np.minimum) * (1, -1)
+        fine, coarse = ((high - low) / (n - 1) or 1.0 for n in (_FINE, _COARSE))
+
+        def count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            node, part = on_grid(here.strengths(x), low, fine, _FINE)
+            return np.stack([counted(node[k], part[k], _FINE) for k in (y > 0, y <= 0)])
+
+        good, bad = total(count, np.add)
+        loss = good @ against(lambda u: np.logaddexp(0, -u), bad, fine) / pairs + _RIDGE / 2 * w @ w
+        if loss > last + 1e-5:
+            w = (w + before) / 2
+            continue
+        nodes = on_grid(low + fine * np.arange(_FINE), low, coarse, _COARSE)
+        pulls = against(_beaten, bad, fine), -against(lambda u: _beaten(-u), good, fine)
+        bends = [against(_curvature, counted(*nodes, _COARSE, other), coarse) for other in (bad, good)]
+
+        def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            s, z = here.strengths(x), here.expanded(x)
+            gradient, square, sums = np.zeros(size), np.zeros((size, size)), []
+            for k, pull, bend in zip((y > 0, y <= 0), pulls, bends):
+                node, part = on_grid(s[k], low, fine, _FINE)
+                gradient -= z[k].T @ (pull[node] * (1 - part) + pull[node + 1] * part)
+                node, part = on_grid(s[k], low, coarse, _COARSE)
+                square += (z[k] * (bend[node] * (1 - part) + bend[node + 1] * part)[:, None]).T @ z[k]
+                sums += [counted(node, part, _COARSE, column) for column in z[k].T]
+            return np.concatenate([gradient, square.ravel(), np.concatenate(sums)])
+
+        found = total(slopes, np.add)
+        gradient, square, sums = found[:size], found[size : size + size**2].reshape(size, size), found[size + size**2 :].reshape(2, size, _COARSE)
+        apart = _curvature((np.arange(_COARSE)[:, None] - np.arange(_COARSE)) * coarse)
+        cross = sums[0] @ apart @ sums[1].T
+        curvature = (square - cross - cross.T) / pairs
+        step = np.linalg.solve(curvature + _RIDGE * np.eye(size), _RIDGE * w + gradient / pairs)
+        w, last, before = w - step, loss, w
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def nth_strength(total: Total, model: QualityModel, n: int) -> float:
+    """The n-th smallest strength (from 0) of all rows, found by eleven bits of its order at a time."""
+
+    def ordered(x: np.ndarray) -> np.ndarray:
+        bits = model.strengths(x).view(np.int64)
+        return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+
+    prefix = 0
+    for shift in (55, 44, 33, 22, 11, 0):
+
+        def count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            keys = ordered(x) >> np.uint64(shift)
+            keys = keys[keys >> np.uint64(11) == prefix]
+            return np.bincount((keys & np.uint64(2047)).astype(np.int64), minlength=2048)
+
+        upto = np.cumsum(total(count, np.add))
+        digit = int(np.searchsorted(upto, n, side="right"))
+        n -= int(upto[digit - 1]) if digit else 0
+        prefix = prefix << 11 | digit
+    bits = np.array([prefix], np.uint64) ^ np.uint64(1 << 63)
+    bits = bits.view(np.int64)
+    return float((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def fit_rows(total: Total, weigh: Callable[[QualityModel, int, int], np.ndarray]) -> QualityModel:
+    """A model of all rows, whose weights ``weigh`` finds from the standard and the numbers of good and bad rows."""
+    sums = total(lambda x, y: np.concatenate([[np.sum(y > 0), np.sum(y <= 0)], x.sum(axis=0)]), np.add)
+    n_good, n_bad, d = int(sums[0]), int(sums[1]), len(sums) - 2
+    n = n_good + n_bad
+    if not n_good or not n_bad:
         return QualityModel(np.zeros(d), np.ones(d), np.zeros(2 * d))
-    centre, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
+    centre = sums[2:] / n
+    scale = np.sqrt(total(lambda x, y: ((x - centre) ** 2).sum(axis=0), np.add) / n) + 1e-6
     model = QualityModel(centre, scale, np.zeros(2 * d))
-    rng = np.random.default_rng(seed)
-    z = expand((features - centre) / scale)
-    model.weights = fit_pairs(z[rng.choice(good, n_pairs)] - z[rng.choice(bad, n_pairs)])
-    strengths = model.strengths(features)
-    model.cut = float(np.quantile(strengths, len(bad) / len(labels)))
+    model.weights = weigh(model, n_good, n_bad)
+    place = n_bad / n * (n - 1)
+    below, above = (nth_strength(total, model, min(int(place) + k, n - 1)) for k in (0, 1))
+    model.cut = below + (above - below) * (place - int(place))
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, n_pairs: int = N_PAIRS) -> QualityModel:
-    """Fit on at most ``max_rows`` labelled rows whose crc32(id) mod 3 is not 1."""
-    sample = labelled_sample(documents, labels, id_col, text_col, label_col, held_out(id_col, 3, 1), max_rows)
-    names = [f"f{i}" for i in range(N_FEATURES)]
+def fit_bradley_terry(features: np.ndarray, labels: np.ndarray, n_pairs: int | None = None, seed: int = 7) -> QualityModel:
+    """Learn from all (good, bad) pairs of the given rows, or from ``n_pairs`` random ones if that is asked for."""
+
+    def total(f: Callable, merge: np.ufunc) -> np.ndarray:
+        return f(features, labels)
+
+    def drawn(model: QualityModel, n_good: int, n_bad: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        z = model.expanded(features)
+        good, bad = np.flatnonzero(labels > 0), np.flatnonzero(labels <= 0)
+        return fit_pairs(z[rng.choice(good, n_pairs)] - z[rng.choice(bad, n_pairs)])
+
+    return fit_rows(total, drawn if n_pairs else lambda *given: fit_weights(total, *given))
+
+
+def labelled_features(documents: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int | None) -> DataFrame:
+    """(``_label``, ``_x``: features as bytes) of every labelled document whose crc32(id) mod 3 is not 1, one row an id.
+
+    Features are taken where the texts are, and only they move.  Rows are dealt to tasks by
+    id and sorted in them, so that sums don't depend on the tables' order.
+    """
+    apart = held_out(id_col, 3, 1)
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~apart).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
+    if max_rows is not None:
+        chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    tasks = min(1 + chosen.count() // _TASK_ROWS, _MAX_TASKS)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = text_features(texts_of(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in x.T)], ["id", "label", *names])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], [id_col, "_x"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    rows = map_arrow(sample, measure, f"id {kind}, label int, " + ", ".join(f"{n} double" for n in names)).toPandas()
-    rows = rows.sort_values(["id", *names], kind="stable")
-    return fit_bradley_terry(rows[names].to_numpy(float).reshape(len(rows), N_FEATURES), rows["label"].to_numpy(), n_pairs)
+    texts = documents.where(F.col(id_col).isNotNull() & ~apart).select(id_col, text_col)
+    measured = map_arrow(texts, measure, f"`{id_col}` {kind}, _x binary").groupBy(id_col).agg(F.min("_x").alias("_x"))
+    rows = measured.join(chosen, id_col).repartition(tasks, id_col).sortWithinPartitions(id_col)
+    return settled(rows.select("_label", "_x"))
+
+
+def total_of(rows: DataFrame) -> Total:
+    """Totals over a frame of ``labelled_features``: one table from each task, put together in the order of tasks."""
+
+    def total(f: Callable[[np.ndarray, np.ndarray], np.ndarray], merge: np.ufunc) -> np.ndarray:
+        nothing = f(np.zeros((0, N_FEATURES)), np.zeros(0, np.int32)).astype(float)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = nothing
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, N_FEATURES)
+                out = merge(out, f(x, batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["part"])
+
+        bound_batches(rows.sparkSession)
+        out = nothing
+        for (part,) in rows.mapInArrow(run, "part binary").collect():
+            out = merge(out, np.frombuffer(part).reshape(nothing.shape))
+        return out
+
+    return total
+
+
+def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int | None = None) -> QualityModel:
+    """Fit on the labelled rows whose crc32(id) mod 3 is not 1: all of them, or ``max_rows`` by a hash of the id if that is asked for."""
+    total = total_of(labelled_features(documents, labels, label_col, id_col, text_col, max_rows))
+    return fit_rows(total, lambda *given: fit_weights(total, *given))
 
 
 def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

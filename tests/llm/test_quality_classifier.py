@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tarnframe.llm import quality_classifier as q
 
@@ -81,3 +82,35 @@ def test_repeated_ids_stay_within_the_bound(spark, frame):
     labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int")
     one, other = q.train(frame(rows), labels), q.train(frame(rows).repartition(5), labels)
     assert np.allclose(one.weights, other.weights) and one.cut == other.cut
+
+
+def test_all_pairs_are_fitted():
+    rng = np.random.default_rng(8)
+    for n, gap in ((150, 1.0), (300, 3.0)):
+        labels = (rng.random(n) < 0.7).astype(int)
+        features = rng.normal(size=(n, q.N_FEATURES)) + gap * labels[:, None] * (rng.random(q.N_FEATURES) < 0.2)
+        model = q.fit_bradley_terry(features, labels)
+        z = model.expanded(features)
+        pairs = (z[labels > 0][:, None] - z[labels == 0]).reshape(-1, z.shape[1])
+        assert np.allclose(model.weights, q.fit_pairs(pairs, rounds=100), atol=1e-5)
+        assert np.isclose(model.cut, np.quantile(model.strengths(features), (labels == 0).mean()), rtol=1e-12)
+
+
+def test_every_labelled_row_is_fitted(spark):
+    docs = spark.range(31_000).selectExpr("id AS doc_id", "concat(repeat(concat('w', id % 97, ' '), cast(1 + id % 9 as int)), if(id % 5 = 0, '###', 'End.')) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 > 0 OR doc_id % 1001 = 0 AS int) AS quality")
+    model = q.train(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    assert len(rows) > 20_000
+    features = q.text_features(q.texts_of(pa.array([r.text for r in rows])))
+    whole = q.fit_bradley_terry(features, np.array([r.quality for r in rows]))
+    assert np.allclose(model.centre, features.mean(axis=0)) and np.allclose(model.scale, features.std(axis=0) + 1e-6)
+    assert np.allclose(model.weights, whole.weights, atol=1e-6) and np.isclose(model.cut, whole.cut, atol=1e-6)
+
+
+def test_the_nth_strength():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=50), np.full(30, 0.25), -rng.random(20) * 1e-300, [0.0, 1e300]])[:, None]
+    model = q.QualityModel(np.zeros(1), np.ones(1), np.array([1.0, 0.0]))
+    values = np.sort(model.strengths(x))
+    assert [q.nth_strength(lambda f, merge: f(x, x), model, n) for n in range(len(x))] == values.tolist()
