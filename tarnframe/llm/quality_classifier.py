@@ -12,7 +12,8 @@ a bad one.  Pairs aren't formed: the loss depends on two strengths only, so what
 row adds is a smooth function of its strength, which follows from the other
 class's strengths counted on a fine grid (see ``fit_weights``).  Each step is a few
 sums over the rows' features, which stay in the checkpoint folder; the driver gets
-tables of fixed size from each task.  Scoring streams whole texts through numpy
+tables of fixed size from each task.  The steps begin at the weights of a few thousand
+rows, so that few of them read all rows.  Scoring streams whole texts through numpy
 without a shuffle.
 
 Defined results: null and empty texts are scored as texts without words; repeated
@@ -51,6 +52,8 @@ _RIDGE = 1e-3
 #: Nodes of the grid of strengths, and of the coarser one for the curvature.
 _FINE, _COARSE = 8192, 256
 _ROUNDS = 50
+#: Rows, roughly, whose weights the fit of all rows begins with.
+_FIRST_ROWS = 4096
 #: Labelled rows of one task, roughly, and tasks at most.
 _TASK_ROWS, _MAX_TASKS = 16_384, 512
 
@@ -199,15 +202,18 @@ def _curvature(u: np.ndarray) -> np.ndarray:
     return _beaten(u) * _beaten(-u)
 
 
-def fit_weights(total: Total, model: QualityModel, n_good: int, n_bad: int) -> np.ndarray:
-    """Newton steps on the mean logistic loss of all pairs with a ridge.
+def fit_weights(total: Total, model: QualityModel, n_good: int, n_bad: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps on the mean logistic loss of all pairs with a ridge, from ``start`` or zero.
+
+    The loss has one minimum, so the start decides how many steps there are and not where they end.
 
     Loss and gradient come from strengths counted on ``_FINE`` nodes, between which the
     logistic is taken as straight: with strengths 40 apart it is wrong by less than 1e-6.
     The coarser grid only shapes the steps, not where they end.
     """
     pairs, size = float(n_good) * n_bad, len(model.weights)
-    w, last, before = np.zeros(size), np.inf, np.zeros(size)
+    w = np.zeros(size) if start is None else start
+    last, before = np.inf, w
     for _ in range(_ROUNDS):
         here = QualityModel(model.centre, model.scale, w)
 
@@ -255,27 +261,33 @@ def fit_weights(total: Total, model: QualityModel, n_good: int, n_bad: int) -> n
 
 
 def nth_strength(total: Total, model: QualityModel, n: int) -> float:
-    """The n-th smallest strength (from 0) of all rows, found by eleven bits of its order at a time."""
+    """The n-th smallest strength (from 0) of all rows."""
+    return nth_strengths(total, model, [n])[0]
+
+
+def nth_strengths(total: Total, model: QualityModel, ranks: list[int]) -> list[float]:
+    """The strengths of all rows at the given ranks (from 0), found together by eleven bits of their order at a time."""
 
     def ordered(x: np.ndarray) -> np.ndarray:
         bits = model.strengths(x).view(np.int64)
         return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
 
-    prefix = 0
+    prefixes, left = [0] * len(ranks), list(ranks)
     for shift in (55, 44, 33, 22, 11, 0):
 
         def count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             keys = ordered(x) >> np.uint64(shift)
-            keys = keys[keys >> np.uint64(11) == prefix]
-            return np.bincount((keys & np.uint64(2047)).astype(np.int64), minlength=2048)
-
-        upto = np.cumsum(total(count, np.add))
-        digit = int(np.searchsorted(upto, n, side="right"))
-        n -= int(upto[digit - 1]) if digit else 0
-        prefix = prefix << 11 | digit
-    bits = np.array([prefix], np.uint64) ^ np.uint64(1 << 63)
+            tops, digits = keys >> np.uint64(11), (keys & np.uint64(2047)).astype(np.int64)
+            return np.stack([np.bincount(digits[tops == prefix], minlength=2048) for prefix in prefixes])
+
+        tables = np.cumsum(total(count, np.add), axis=1)
+        for k, upto in enumerate(tables):
+            digit = int(np.searchsorted(upto, left[k], side="right"))
+            left[k] -= int(upto[digit - 1]) if digit else 0
+            prefixes[k] = prefixes[k] << 11 | digit
+    bits = np.array(prefixes, np.uint64) ^ np.uint64(1 << 63)
     bits = bits.view(np.int64)
-    return float((bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+    return (bits ^ ((bits >> 63) & np.int64(2**63 - 1))).view(np.float64).tolist()
 
 
 def fit_rows(total: Total, weigh: Callable[[QualityModel, int, int], np.ndarray]) -> QualityModel:
@@ -290,7 +302,7 @@ def fit_rows(total: Total, weigh: Callable[[QualityModel, int, int], np.ndarray]
     model = QualityModel(centre, scale, np.zeros(2 * d))
     model.weights = weigh(model, n_good, n_bad)
     place = n_bad / n * (n - 1)
-    below, above = (nth_strength(total, model, min(int(place) + k, n - 1)) for k in (0, 1))
+    below, above = nth_strengths(total, model, [int(place), min(int(place) + 1, n - 1)])
     model.cut = below + (above - below) * (place - int(place))
     return model
 
@@ -314,7 +326,9 @@ def labelled_features(documents: DataFrame, labels: DataFrame, label_col: str, i
     """(``_label``, ``_x``: features as bytes) of every labelled document whose crc32(id) mod 3 is not 1, one row an id.
 
     Features are taken where the texts are, and only they move.  Rows are dealt to tasks by
-    id and sorted in them, so that sums don't depend on the tables' order.
+    id and sorted in them, so that sums don't depend on the tables' order.  Every pass over
+    the rows sends the driver a table a task, so the tasks go by the number of rows, also
+    where a session's shuffles have more partitions.
     """
     apart = held_out(id_col, 3, 1)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~apart).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
@@ -329,8 +343,8 @@ def labelled_features(documents: DataFrame, labels: DataFrame, label_col: str, i
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.where(F.col(id_col).isNotNull() & ~apart).select(id_col, text_col)
     measured = map_arrow(texts, measure, f"`{id_col}` {kind}, _x binary").groupBy(id_col).agg(F.min("_x").alias("_x"))
-    rows = measured.join(chosen, id_col).repartition(tasks, id_col).sortWithinPartitions(id_col)
-    return settled(rows.select("_label", "_x"))
+    rows = settled(measured.join(chosen, id_col).repartition(tasks, id_col).sortWithinPartitions(id_col).select("_label", "_x"))
+    return rows.coalesce(tasks) if rows.rdd.getNumPartitions() > tasks else rows
 
 
 def total_of(rows: DataFrame) -> Total:
@@ -355,10 +369,35 @@ def total_of(rows: DataFrame) -> Total:
     return total
 
 
+def first_rows(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of about ``_FIRST_ROWS`` rows of a frame of ``labelled_features``, an equal number from each task at most."""
+    most = 1 + _FIRST_ROWS // rows.rdd.getNumPartitions()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = most
+        for batch in batches:
+            if left:
+                yield batch.slice(0, left)
+            left -= min(left, batch.num_rows)
+
+    bound_batches(rows.sparkSession)
+    found = rows.mapInArrow(run, rows.schema).collect()
+    return np.frombuffer(b"".join(bytes(r._x) for r in found)).reshape(-1, N_FEATURES), np.array([r._label for r in found], np.int32)
+
+
+def fit_from_first(rows: DataFrame, total: Total, model: QualityModel, n_good: int, n_bad: int) -> np.ndarray:
+    """The weights of all rows; the steps begin at those of the first rows, which the driver fits, as each step reads all rows."""
+    x, y = first_rows(rows)
+    good, bad = int((y > 0).sum()), int((y <= 0).sum())
+    start = fit_weights(lambda f, merge: f(x, y), model, good, bad) if good and bad else None
+    return fit_weights(total, model, n_good, n_bad, start)
+
+
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int | None = None) -> QualityModel:
     """Fit on the labelled rows whose crc32(id) mod 3 is not 1: all of them, or ``max_rows`` by a hash of the id if that is asked for."""
-    total = total_of(labelled_features(documents, labels, label_col, id_col, text_col, max_rows))
-    return fit_rows(total, lambda *given: fit_weights(total, *given))
+    rows = labelled_features(documents, labels, label_col, id_col, text_col, max_rows)
+    total = total_of(rows)
+    return fit_rows(total, lambda *given: fit_from_first(rows, total, *given))
 
 
 def score(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,3 +114,41 @@ def test_the_nth_strength():
     model = q.QualityModel(np.zeros(1), np.ones(1), np.array([1.0, 0.0]))
     values = np.sort(model.strengths(x))
     assert [q.nth_strength(lambda f, merge: f(x, x), model, n) for n in range(len(x))] == values.tolist()
+
+
+def test_tasks_go_by_rows_not_by_partitions(spark, frame, monkeypatch):
+    rows = corpus(120)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    docs = frame([(i, t) for i, t, _ in rows])
+    one = q.train(docs, labels)
+    deal = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *columns: deal(self, max(n, 40), *columns))
+    features = q.labelled_features(docs, labels, "quality", "doc_id", "text", None)
+    seen = q.total_of(features)(lambda x, y: np.array([len(y), not len(y)]), np.add)
+    assert seen[0] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in rows)
+    assert seen[1] == 1 + 1  # no rows yet: once in the driver and once in each task
+    assert np.allclose(q.train(docs, labels).weights, one.weights, atol=1e-6)
+
+
+def test_few_passes_over_all_rows(spark, frame, monkeypatch):
+    rows = corpus()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    docs, passes, total_of = frame([(i, t) for i, t, _ in rows]), [], q.total_of
+
+    def counting(features):
+        total = total_of(features)
+        return lambda f, merge: passes.append(f) or total(f, merge)
+
+    monkeypatch.setattr(q, "total_of", counting)
+    q.train(docs, labels)
+    assert len(passes) <= 30
+
+
+def test_the_start_does_not_decide_the_weights(spark, frame, monkeypatch):
+    rows = corpus()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    docs = frame([(i, t) for i, t, _ in rows])
+    whole = q.train(docs, labels)
+    monkeypatch.setattr(q, "_FIRST_ROWS", 30)
+    part = q.train(docs, labels)
+    assert np.allclose(part.weights, whole.weights, atol=1e-6) and np.isclose(part.cut, whole.cut, atol=1e-6)
