@@ -45,3 +45,19 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_fit_takes_few_tasks_whatever_the_partitions(spark, tmp_path, monkeypatch):
+    texts = [(i, PROSE + " " + f"w{i} " * (i % 40) + "$$$ " * (i % 5 == 0)) for i in range(80)]
+    spark.createDataFrame([row(i, t) for i, t in texts], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(80)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    deal = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *columns: deal(self, max(n, 24), *columns))
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("fit", "fit")
+    corpus_pipeline.classify_quality(spark, docs, str(tmp_path))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for job in tracker.getJobIdsForGroup("fit") for k in tracker.getJobInfo(job).stageIds}
+    tasks = [tracker.getStageInfo(k).numTasks for k in stages if tracker.getStageInfo(k)]
+    assert len(tasks) > 10 and sum(n >= 24 for n in tasks) <= 2
